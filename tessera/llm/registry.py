@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe
+from tessera.llm import bpe, mixing, secrets
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
+    "op5_secrets": secrets.op5_secrets,
 }
 #: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
