@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches, table
 
 #: Chunks kept by a Python worker before its memo is cleared (about 200 bytes each).
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 1_000_000
 #: Fixed by the byte-level pre-tokenizer of the file format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,7 +70,6 @@ class TrieBpe:
         model = spec["model"]
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.rank: dict[tuple[int, int], int] = {}
         self.merged: dict[tuple[int, int], int] = {}
         for n, pair in enumerate(model["merges"]):
@@ -83,6 +82,17 @@ class TrieBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pretoken = regex.compile(PRETOKEN)
+        # States of the suffix automaton: the longest end of what was read that begins some token.
+        self.state_of = {b[:n]: 0 for b in self.ids for n in range(len(b) + 1)}
+        self.state_of = {b: i for i, b in enumerate(sorted(self.state_of))}
+        self.state_bytes = [*self.state_of]
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.state_bytes)
+        self.step: dict[int, int] = {}
+        # The merge that makes each token; one each in files of this kind.
+        self.parts = {self.merged[p]: (*p, n) for p, n in self.rank.items()}
+        if len(self.parts) != len(self.rank):
+            raise ValueError("two merges make one token")
+        self.edges: dict[int, tuple[list[tuple[int, float]], list[tuple[int, float]]]] = {}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -97,37 +107,71 @@ class TrieBpe:
             out[best : best + 2] = [self.merged[pair]]
         return out
 
+    def spines(self, token: int) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
+        """The parts along the token's right and left edge as its merges are undone, each with the rank that used it up."""
+        if token not in self.edges:
+            out = []
+            for side in (1, 0):
+                spine, part, used = [], token, float("inf")
+                while True:
+                    spine.append((part, used))
+                    if part not in self.parts:
+                        break
+                    *both, used = self.parts[part]
+                    part = both[side]
+                out.append(spine)
+            self.edges[token] = (out[0], out[1])
+        return self.edges[token]
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the bytes of token a and then token b as just these two tokens."""
+        """Whether BPE leaves the bytes of token a and then token b as just these two tokens.
+
+        It doesn't if a merge across their border comes before both of its parts are used
+        up inside their own tokens; of equal ranks the left one comes first.
+        """
         key = a * 1_000_000 + b
         known = self.pairs.get(key)
         if known is None:
-            known = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            rank = self.rank
+            known = not any((n := rank.get((x, y))) is not None and n < x_used and n <= y_used for x, x_used in self.spines(a)[0] for y, y_used in self.spines(b)[1])
+            self.pairs[key] = known
         return known
 
+    def advance(self, state: int, byte: int) -> int:
+        """The state after one more byte; from then on kept in ``step``, and the tokens that end there in ``ends``."""
+        at = self.state_bytes[state] + bytes([byte])
+        while at not in self.state_of:
+            at = at[1:]
+        after = self.step[state << 8 | byte] = self.state_of[at]
+        if self.ends[after] is None:
+            self.ends[after] = tuple((self.ids[at[i:]], len(at) - i) for i in range(len(at)) if at[i:] in self.ids)
+        return after
+
     def encode_words(self, words: list[str]) -> None:
         """Put the encodings of distinct pre-tokens into ``words``: depth first over their trie."""
-        ids, longest, bytes_of, pairs, follows = self.ids, self.longest, self.bytes_of, self.pairs, self.follows
+        bytes_of, pairs, follows, step, ends, advance = self.bytes_of, self.pairs, self.follows, self.step, self.ends, self.advance
         pack, before = struct.pack, b""
         path: list[int] = [-1]  # last token of each prefix of the word before
+        states: list[int] = [0]
         for word, text in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None:
-                        if start == 0:
-                            break
-                        last = path[start]
-                        known = pairs.get(last * 1_000_000 + token)
-                        if known is None:
-                            known = follows(last, token)
-                        if known:
-                            break
+            del path[shared + 1 :], states[shared + 1 :]
+            state, end = states[shared], shared
+            for byte in word[shared:]:
+                end += 1
+                after = step.get(state << 8 | byte)
+                state = advance(state, byte) if after is None else after
+                for token, length in ends[state]:
+                    if length == end:
+                        break
+                    last = path[end - length]
+                    known = pairs.get(last * 1_000_000 + token)
+                    if follows(last, token) if known is None else known:
+                        break
                 path.append(token)
+                states.append(state)
             out, end = [], len(word)
             while end:
                 out.append(path[end])
