@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing, secrets
+from tessera.llm import bpe, mixing, quality, secrets
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_secrets": secrets.op5_secrets,
+    "op9_quality": quality.op9_quality,
 }
 #: DuckDB SQL of those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL}
