@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, mixing, quality, secrets
+from tessera.llm import bpe, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_secrets": secrets.op5_secrets,
