@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, mixing, quality, secrets, toxicity
+from tessera.llm import bpe, chat, jaccard, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op6_jaccard": jaccard.op6_jaccard,
     "op8_chat": chat.op8_chat,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
