@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, jaccard, mixing, quality, secrets, toxicity
+from tessera.llm import ann, bpe, chat, jaccard, mixing, quality, secrets, toxicity
 
 QUERIES = {
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_ann": ann.op7_ann,
     "op8_chat": chat.op8_chat,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
