@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, jaccard, mixing, quality, secrets, toxicity
+from tessera.llm import ann, bpe, chat, jaccard, lm, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_lm": lm.op1_lm,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_ann": ann.op7_ann,
     "op8_chat": chat.op8_chat,
