@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +41,11 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; -1 for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(folds), F.lit(-1))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again; for wide rows, as it compresses."""
+    ensure_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, bpe, chat, jaccard, lm, mixing, quality, secrets, toxicity
+from tessera.llm import ann, bpe, chat, jaccard, lm, mixing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_lm": lm.op1_lm,
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_secrets": secrets.op5_secrets,
+    "op10_repeats": repeats.op10_repeats,
     "op9_quality": quality.op9_quality,
 }
 #: DuckDB SQL of those that SQL can express.
