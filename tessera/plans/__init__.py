@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-FAMILIES: tuple[str, ...] = ()
+FAMILIES = ("sessions",)
 
 
 def load_catalog():
