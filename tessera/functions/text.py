@@ -18,9 +18,24 @@ def regexp_all(c: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda that named the expression would compute it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def windows(values: Column, n: int) -> Column:
+    """Each n neighbours of an array of strings, joined by spaces."""
+
+    def of(t: Column) -> Column:
+        joined = F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(t, i + k) for k in range(1, n)]))
+        return joined
+
+    return let(values, of)
+
+
 def bigrams(c: Column) -> Column:
     """Adjacent two-character strings."""
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
+    return let(c, lambda v: F.when(F.length(v) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(v) - 1), lambda i: F.substring(v, i, F.lit(2)))))
 
 
 def lexical_tokens(c: Column | str) -> Column:
@@ -42,8 +57,7 @@ def word_tokens(c: Column | str) -> Column:
 
 def token_shingles(c: Column | str, n: int = 3) -> Column:
     """Distinct n-tuples of ``word_tokens``, joined by spaces."""
-    t = word_tokens(c)
-    return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))))
+    return F.array_distinct(windows(word_tokens(c), n))
 
 
 def meaningful(c: Column | str) -> Column:

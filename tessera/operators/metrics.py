@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import share
+from tessera.functions.text import windows
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -72,7 +73,7 @@ def token_f1(generated: Column, reference: Column) -> Column:
 
 
 def repeated_trigram(tokens: Column) -> Column:
-    tri = F.when(F.size(tokens) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.array_join(F.slice(tokens, i, 3), " ")))
+    tri = windows(tokens, 3)
     return F.size(F.array_distinct(tri)) < F.size(tri)
 
 

@@ -1,0 +1,83 @@
+"""Greedy folds over ordered messages: chunks, budgets, topics. Groups are conversations; each is folded by itself."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def chunk_groups(df: DataFrame, owner: str, order: str, role: str, text: str, most_chars: int = 700, most_messages: int = 12) -> DataFrame:
+    """owner, order, chunk_no: a chunk is closed where the next message (text, role and two more characters) would pass the limit, or after so many messages."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, ignore_index=True)
+        chunk, size, count, out = 0, 0, 0, []
+        for r, t in zip(frame[role], frame[text], strict=True):
+            cost = len(t or "") + len(r or "") + 2
+            if count and (size + cost > most_chars or count >= most_messages):
+                chunk, size, count = chunk + 1, 0, 0
+            size, count = size + cost, count + 1
+            out.append(chunk)
+        return pd.DataFrame({owner: frame[owner], order: frame[order], "chunk_no": out})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(owner, order, role, text).groupBy(owner).applyInPandas(run, f"`{owner}` {types[owner]}, `{order}` {types[order]}, chunk_no int")
+
+
+def assign_topics(df: DataFrame, owner: str, order: str, text: str, keywords: dict[str, tuple[str, ...]], shared: int = 2) -> DataFrame:
+    """owner, order, topic_no: a message joins the latest topic of a common category with ``shared`` common character pairs, else it opens one; what comes later never matters."""
+
+    def pairs(t: str) -> set[str]:
+        t = "".join(c for c in t if c.isalnum() or c == "_")
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, ignore_index=True)
+        topics: list[tuple[frozenset[str], set[str]]] = []
+        out = []
+        for t in frame[text]:
+            t = t or ""
+            cats, own = frozenset(c for c, words in keywords.items() if any(w in t for w in words)), pairs(t)
+            at = next((i for i in range(len(topics) - 1, -1, -1) if (cats & topics[i][0] or cats == topics[i][0]) and len(own & topics[i][1]) >= shared), None)
+            if at is None:
+                topics.append((cats, own))
+                at = len(topics) - 1
+            else:
+                topics[at] = (topics[at][0] | cats, topics[at][1] | own)
+            out.append(at)
+        return pd.DataFrame({owner: frame[owner], order: frame[order], "topic_no": out})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.select(owner, order, text).groupBy(owner).applyInPandas(run, f"`{owner}` {types[owner]}, `{order}` {types[order]}, topic_no int")
+
+
+def within_budget(items: Column, cost: str, budget: int) -> Column:
+    """Of ranked structs those that fit: one that doesn't is left out, and later ones are still tried."""
+    empty = F.struct(F.lit(0).alias("used"), F.filter(items, lambda _: F.lit(False)).alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x[cost] <= budget
+        return F.struct(F.when(fits, acc["used"] + x[cost]).otherwise(acc["used"]).cast("int").alias("used"), F.when(fits, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+
+    return F.aggregate(items, empty, step)["kept"]
+
+
+def assistant_labels(ids: Column, mask: Column, ignored: int = -100) -> Column:
+    """Token ids where the mask is 1, ``ignored`` elsewhere."""
+    return F.zip_with(ids, mask, lambda i, m: F.when(m == 1, i).otherwise(F.lit(ignored)))
+
+
+def resolved_date(text: Column, today: Column) -> Column:
+    """value and precision of the date a text names: relative words, then year-month-day, year-month, month-day (``--MM-DD``), year; an impossible day leaves its month."""
+    part = lambda p, k: F.regexp_extract(text, p, k)
+    full, month, md = r"((?:19|20)\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})", r"((?:19|20)\d{2})[-/.年](\d{1,2})", r"(?<!\d)(\d{1,2})月(\d{1,2})日?"
+    num = lambda c: c.try_cast("int")
+    ymd = F.expr("null")
+    made = F.try_make_date(num(part(full, 1)), num(part(full, 2)), num(part(full, 3))) if hasattr(F, "try_make_date") else F.try_to_date(F.concat_ws("-", part(full, 1), F.lpad(part(full, 2), 2, "0"), F.lpad(part(full, 3), 2, "0")), "yyyy-MM-dd")
+    pick = lambda v, p: F.struct(v.cast("string").alias("value"), F.lit(p).alias("precision"))
+    out = F.when(text.rlike("前天"), pick(F.date_sub(today, 2), "day")).when(text.rlike("昨天"), pick(F.date_sub(today, 1), "day")).when(text.rlike("今天"), pick(today, "day")).when(text.rlike("明天"), pick(F.date_add(today, 1), "day")).when(text.rlike("后天"), pick(F.date_add(today, 2), "day"))
+    out = out.when(text.rlike(full) & made.isNotNull(), pick(F.date_format(made, "yyyy-MM-dd"), "day"))
+    out = out.when(text.rlike(month) & num(part(month, 2)).between(1, 12), pick(F.concat_ws("-", part(month, 1), F.lpad(part(month, 2), 2, "0")), "month"))
+    out = out.when(text.rlike(md) & num(part(md, 1)).between(1, 12) & num(part(md, 2)).between(1, 31), pick(F.concat(F.lit("--"), F.lpad(part(md, 1), 2, "0"), F.lit("-"), F.lpad(part(md, 2), 2, "0")), "month_day"))
+    return out.when(text.rlike(r"(?:19|20)\d{2}"), pick(F.regexp_extract(text, r"((?:19|20)\d{2})", 1), "year")).otherwise(pick(ymd, "unknown"))

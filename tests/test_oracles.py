@@ -17,7 +17,7 @@ SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
