@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches, table
 
-#: Chunks kept by a Python worker before its memo is cleared (about 200 bytes each).
-MEMO_CHUNKS = 1_000_000
+#: Chunks, words and token pairs kept by a Python worker before its memo is cleared (about 200 bytes each).
+MEMO_CHUNKS = 400_000
 #: Fixed by the byte-level pre-tokenizer of the file format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -191,7 +191,7 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > MEMO_CHUNKS or len(self.words) > MEMO_CHUNKS or len(self.pairs) > 4 * MEMO_CHUNKS:
+        if len(self.chunks) > MEMO_CHUNKS or len(self.words) > MEMO_CHUNKS or len(self.pairs) > MEMO_CHUNKS:
             self.chunks, self.words, self.pairs = {}, {}, {}
         plain: list[list[str]] = []  # of each stretch between special tokens
         layout: list[list[int]] = []  # of each text: the stretches, and special tokens as -1 - id

@@ -36,7 +36,7 @@ from tessera.llm.hashing import mixed, shingles
 
 TREES, COMPONENTS, RECALL = 16, 8, 0.9995
 #: Classes that one task compares with each other, at most, if a prefix group has more.
-BLOCK = 2000
+BLOCK = 1000
 _A = np.random.Generator(np.random.PCG64(61)).integers(1, 1 << 63, TREES * COMPONENTS * 4, dtype=np.uint64) | np.uint64(1)
 
 
@@ -121,7 +121,10 @@ def verified(sets: list[np.ndarray], keys: np.ndarray, tree: int, threshold: flo
     """Which two sets reach the threshold and share no prefix in an earlier tree; with ``across`` only of different blocks."""
     size = np.array([len(s) for s in sets])
     both = shared_counts(sets) if len(sets) > 2 else np.full((2, 2), len(np.intersect1d(sets[0], sets[1], assume_unique=True)), np.float32)
-    hit = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+    hit = np.zeros(both.shape, bool)
+    for a in range(0, len(sets), 256):  # doubles for some rows at a time
+        some = both[a : a + 256].astype(np.float64)
+        hit[a : a + 256] = some >= threshold * (size[a : a + 256, None] + size[None, :] - some) - 1e-6
     np.fill_diagonal(hit, False)
     for t in range(tree):
         hit &= keys[:, t][:, None] != keys[:, t][None, :]
