@@ -9,10 +9,10 @@ Exception phrases (term plus its neighbour words) take back the hits inside them
 The score is a logistic function of the summed weights, their sum per square root of
 words, and the hit count.
 
-Lexicon, exceptions and the logistic function are learned from labelled rows: term
-weights are smoothed log odds of document counts, summed over all labelled training
-rows by Spark; the logistic function is fitted on at most ``SAMPLE`` of them, by hash
-of the id.  The lexicon has at most ``TERMS`` entries, which bounds what is broadcast.
+Lexicon, exceptions and the logistic function are learned from at most ``SAMPLE`` labelled
+training rows, the ones with the lowest hash of their id, so that only bounded id lists are broadcast
+and no text is shuffled: term weights are smoothed log odds of document counts, the logistic function is
+fitted to the features.  The lexicon has at most ``TERMS`` entries, which bounds what is sent to scorers.
 
 Defined results: null and empty texts have no hits and get the score of a text
 without hits; null labels and labels without a document are unused, of several
@@ -39,8 +39,8 @@ from tessera.llm.common import fold_of, small_batches, table
 
 #: Entries of the lexicon, at most; exception phrases, at most.
 TERMS, EXCEPTIONS = 2000, 500
-#: Labelled rows that the logistic function is fitted on, at most.
-SAMPLE = 20_000
+#: Labelled rows that are learned from, at most.
+SAMPLE = 30_000
 #: Shortest and longest stem that is tried as a term.
 STEM = (3, 12)
 
@@ -227,7 +227,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """A lexicon from the documents that ``labels`` covers (label 1: toxic). Give it training rows only."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(label).alias("__y"))
-    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(known, "__id")
+    known = known.withColumn("__o", F.xxhash64("__id", F.lit(9))).orderBy("__o", "__id").limit(sample).select("__id", "__y")
+    # `sample` ids and labels: the side that is broadcast has a proven bound.
+    rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(known), "__id")
     counts, n_bad, n_good = _count_terms(rows)
     weights = choose(counts, n_bad, n_good) if n_bad and n_good else {}
     if not weights:
@@ -241,8 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             x = [lexicon.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(3)] + [batch.column(1).cast(pa.int64())], names=["a", "b", "c", "y"])
 
-    chosen = rows.withColumn("__o", F.xxhash64("__id", F.lit(9))).orderBy("__o", "__id").limit(sample).select("__text", "__y")
-    found = chosen.mapInArrow(run, "a double, b double, c double, y bigint").collect()
+    found = rows.select("__text", "__y").mapInArrow(run, "a double, b double, c double, y bigint").collect()
     x, y = np.array([r[:3] for r in found], float), np.array([r.y for r in found], float)
     return Lexicon(weights, exceptions, _fit(x, y))
 
