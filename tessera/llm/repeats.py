@@ -12,7 +12,8 @@ first cut into segments that hold all that can match:
 
 * each window of ``LENGTH`` bytes is dealt by its minimizer, the least hash of the ``GRAM``-byte strings in it; equal windows have
   equal minimizers.  Neighbouring windows share one, so a run of them is a segment of at most 2 * LENGTH bytes;
-* segments whose minimizer occurs once can't match and never move; equal texts, and then equal segments, are sorted once;
+* segments whose minimizer occurs once can't match and never move; windows whose hash is met once among a minimizer's segments are
+  trimmed off; equal texts, equal segments, and equal rests of segments are sorted once;
 * what is left is sorted in batches of whole minimizer groups, of at most ``HOT`` segments each, so a task's memory is bounded.  The
   columns are kept as sequential arrays that each round reads and writes from front to end, in memory, as batches are bounded: no
   machine-local files.
@@ -41,7 +42,7 @@ LENGTH, GRAM = 400, 64
 #: Segments of one minimizer that are sorted together, at most.
 HOT = 20_000
 #: Bytes of distinct segments that are sorted together, about.
-BATCH = 1 << 18
+BATCH = 1 << 16
 NONE = 255  # no symbol; never a byte of UTF-8
 
 
@@ -134,6 +135,19 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     return np.split(start, np.searchsorted(seg, np.arange(1, m)))
 
 
+def shared_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
+    """For each segment the starts of windows whose hash is met more than once in the segments: all that can be repeated."""
+    sizes = np.array([len(x) for x in segments])
+    ends = np.cumsum(sizes)
+    hashes = window_hashes(np.frombuffer(b"".join(segments), np.uint8), length)
+    owner = np.repeat(np.arange(len(segments)), sizes)[: len(hashes)]
+    at = np.arange(len(hashes))
+    at = at[at + length <= ends[owner]]
+    _, inverse, counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    at = at[counts[inverse] > 1]
+    return np.split(at - (ends - sizes)[owner[at]], np.searchsorted(at, ends[:-1]))
+
+
 def _woven(old: np.ndarray, fresh: np.ndarray, spots: np.ndarray, put: np.ndarray) -> np.ndarray:
     out = np.empty(len(fresh), old.dtype)
     out[~fresh] = old
@@ -181,14 +195,24 @@ def _sorted_groups(length: int):
             held.clear()
 
         def close(group: dict[bytes, list[tuple[bytes, int]]]) -> int:
-            if len(group) == 1:
-                # one segment, several times: all its windows are repeated
-                (seg, who), *_ = group.items()
-                if len(who) > 1:
+            for seg, who in group.items():
+                if len(who) > 1:  # a segment that stands several times: all its windows are repeated
                     out.extend((digest, first, first + len(seg) - length) for digest, first in who)
+            if len(group) == 1:
+                return 0
+            # Windows whose hash is met once in the group are unique; what is left of segments is often the same
+            # string again, which is sorted once.
+            shared: dict[bytes, list[tuple[bytes, int]]] = {}
+            for (seg, who), starts in zip(group.items(), shared_windows(list(group), length), strict=True):
+                for a, b in _as_ranges(starts):
+                    shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
+            if len(shared) == 1:
+                (seg, who), *_ = shared.items()
+                out.extend((digest, first, first + len(seg) - length) for digest, first in who)
                 return 0
-            held.append(group)
-            return sum(map(len, group))
+            if shared:
+                held.append(shared)
+            return sum(map(len, shared))
 
         mini, group = None, {}
         for batch in batches:
