@@ -78,24 +78,47 @@ hits AS (SELECT item_id, p.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5
 ranked AS (SELECT item_id, doc_id, round(lexical, 6) AS lexical, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, doc_id) AS rank FROM hits)"""
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, every=False):
+    """Cards are owned by their language and searched as 'en'; with ``every`` all cards have one owner and are searched."""
     cards = read(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("lang", "owner")
-    q = read(spark, d, "benchmark", "item_id", "text").withColumn("owner", F.lit("en"))
+    cards = cards.withColumn("owner", F.lit("all")) if every else cards
+    q = read(spark, d, "benchmark", "item_id", "text").withColumn("owner", F.lit("all" if every else "en"))
     scored = rt.bm25(rt.postings(cards, "doc_id", "text", "owner"), rt.owner_stats(cards, "text", "owner"), q, "doc_id", "owner", "item_id", "text")
     return rt.top_k(scored.withColumn("lexical", F.round("lexical", 6)), "item_id", "lexical", [F.col("doc_id")], 5)
 
 
 @query("bm25_topk", f"WITH {_POST} SELECT item_id, doc_id, lexical, rank FROM ranked WHERE rank <= 5")
 def bm25_topk(spark, d):
+    """English documents alone, as its SQL says; ``bm25_topk_all`` searches all."""
     return _bm25(spark, d).select("item_id", "doc_id", "lexical", "rank")
 
 
 @query("recall_mrr", f"WITH {_POST}, k AS (SELECT * FROM ranked WHERE rank <= 5), h AS (SELECT item_id, min(rank) FILTER (doc_id % 7 = item_id % 7) AS best FROM k GROUP BY 1) SELECT (SELECT count(*) FROM benchmark) AS cases, round(count(best) / (SELECT count(*) FROM benchmark), 9) AS recall, round(coalesce(sum(1 / best), 0) / (SELECT count(*) FROM benchmark), 9) AS mrr, round(((SELECT count(*) FROM benchmark) - count(*)) / (SELECT count(*) FROM benchmark), 9) AS no_evidence FROM h")
 def recall_mrr(spark, d):
+    """Over the search of ``bm25_topk``: relevant ids of all languages, found in English documents alone."""
+    return rt.report(_bm25(spark, d), _cases(spark, d), "item_id", "doc_id")
+
+
+def _cases(spark, d):
     """Relevant here: documents whose id has the query's remainder modulo 7."""
     ids = read(spark, d, "documents", "doc_id").groupBy((F.col("doc_id") % 7).alias("m")).agg(F.collect_list("doc_id").alias("relevant"))
-    cases = read(spark, d, "benchmark", "item_id").withColumn("m", F.col("item_id") % 7).join(ids, "m").select("item_id", "relevant")
-    return rt.report(_bm25(spark, d), cases, "item_id", "doc_id")
+    return read(spark, d, "benchmark", "item_id").withColumn("m", F.col("item_id") % 7).join(ids, "m").select("item_id", "relevant")
+
+
+#: All documents, whatever their language, as the cards of one owner.
+_POST_ALL = _POST.replace("SELECT lang AS owner", "SELECT 'all' AS owner").replace("'en' AS owner", "'all' AS owner")
+
+
+@query("bm25_topk_all", f"WITH {_POST_ALL} SELECT item_id, doc_id, lexical, rank FROM ranked WHERE rank <= 5")
+def bm25_topk_all(spark, d):
+    """Every document is searched, those of other languages and of none included; statistics are of all documents."""
+    return _bm25(spark, d, every=True).select("item_id", "doc_id", "lexical", "rank")
+
+
+@query("recall_mrr_all", f"WITH {_POST_ALL}, k AS (SELECT * FROM ranked WHERE rank <= 5), h AS (SELECT item_id, min(rank) FILTER (doc_id % 7 = item_id % 7) AS best FROM k GROUP BY 1) SELECT (SELECT count(*) FROM benchmark) AS cases, round(count(best) / (SELECT count(*) FROM benchmark), 9) AS recall, round(coalesce(sum(1 / best), 0) / (SELECT count(*) FROM benchmark), 9) AS mrr, round(((SELECT count(*) FROM benchmark) - count(*)) / (SELECT count(*) FROM benchmark), 9) AS no_evidence FROM h")
+def recall_mrr_all(spark, d):
+    """``recall_mrr`` over the search of all documents."""
+    return rt.report(_bm25(spark, d, every=True), _cases(spark, d), "item_id", "doc_id")
 
 
 _COS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
