@@ -171,11 +171,24 @@ def primary_reason(spark, d):
     "SELECT doc_id, NOT (template IN (SELECT template FROM f) AND k > 2) AS selected FROM r",
 )
 def repetition_cap(spark, d):
-    """Templates here: the first 12 characters; three uses make one repetitive, two a language stay."""
+    """Templates here: the first 12 characters, as its SQL says (``repetition_cap_decisions`` has the real ones); three uses make one repetitive, two a language stay."""
     t = read(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.substring("text", 1, 12).alias("template"), F.lit(12).alias("template_chars"), F.lit(True).alias("selected"), F.array().cast("array<string>").alias("reasons"))
     return cu.cap_templates(t, t, "doc_id", cu.Policy(template_least=3, cap=2), "lang").select("doc_id", "selected")
 
 
+_CAPPED = (
+    f", k AS (SELECT *, {_TEMPLATE.format('a')} AS template, len(reasons) = 0 AS sel FROM decided), f AS (SELECT template FROM k WHERE split = 'train' AND len(template) <= 32 GROUP BY 1 HAVING count(*) >= 6), "
+    "r AS (SELECT *, sel AND template IN (SELECT template FROM f) AND row_number() OVER (PARTITION BY split, template, sel ORDER BY sha256(sample_id)) > 3 AS over FROM k)"
+)
+
+
+@query("repetition_cap_decisions", f"WITH {_SAMPLES}{_DECIDED}{_CAPPED} SELECT sample_id, split, sel AND NOT over AS selected, CASE WHEN over THEN 'repetitive_template_cap' ELSE array_to_string(reasons, ',') END AS reasons FROM r")
+def repetition_cap_decisions(spark, d):
+    """The cap on the real decisions, by the normalised template of the whole reply and its length."""
+    k = _decided(spark, d)
+    return cu.cap_templates(k, k.where("split = 'train'"), "sample_id").select("sample_id", "split", "selected", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(
     "split_quality_report",
     f"WITH t AS (SELECT lang, sha256({_TEMPLATE.format('text')}) AS k FROM documents), g AS (SELECT lang, k, count(*) AS n FROM t GROUP BY 1, 2) "

@@ -25,3 +25,14 @@ def test_bm25_searches_all_languages(spark, tables):
     assert {r.doc_id for r in QUERIES["bm25_topk"](spark, d).collect()} == {4}
     row = QUERIES["recall_mrr_all"](spark, d).first()
     assert (row.cases, row.recall, row.mrr, row.no_evidence) == (1, 1.0, 1.0, 0.0)
+
+
+def test_cap_by_whole_templates(spark, tables):
+    replies = [f"shall we go {i}?" for i in range(12)] + [f"shall we go {'abcdefghijklm'[i] * 9} today?" for i in range(13)]
+    turns = [(1, 0, "system", "s")] * 8 + [x for r in replies for x in ((1, 0, "user", "hello there"), (1, 0, "assistant", r))]
+    d = tables(conversations=([(c, i, role, t) for i, (c, _, role, t) in enumerate(turns)], "conv_id long, turn long, role string, text string"))
+    rows = QUERIES["repetition_cap_decisions"](spark, d).collect()
+    short = [r for r in rows if int(r.sample_id.split(":")[1]) < 8 + 24]
+    assert len(rows) == 25 and len(short) == 12
+    assert sum(r.selected for r in short) == 3 and all(r.selected for r in rows if r not in short)
+    assert {r.reasons for r in rows if not r.selected} == {"repetitive_template_cap"}
