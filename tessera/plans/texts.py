@@ -49,9 +49,15 @@ def canary_scan(spark, d):
 
 @query("masked_values", r"SELECT doc_id, sha256(regexp_replace(text[1:65536], '(?i)\b(bearer|api[_-]?key|token|password|secret)(\s*[:=]\s*|\s+)\S+', '\1\2[REDACTED]', 'g')) AS masked_sha256 FROM documents")
 def masked_values(spark, d):
+    """The first 65,536 characters, as its SQL says; ``masked_texts`` masks whole texts."""
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.masked_values("text"), 256).alias("masked_sha256"))
 
 
+@query("masked_texts", r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)(bearer[\s\x0b\x85\pZ]+|(?:api[_-]?key|token|password|secret)["'']?[\s\x0b\x85\pZ]*[:=][\s\x0b\x85\pZ]*["'']?)[^\s\x0b\x85\pZ,;"''}]+', '\1[REDACTED]', 'g')) AS masked_sha256 FROM documents""")
+def masked_texts(spark, d):
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.masked_text("text"), 256).alias("masked_sha256"))
+
+
 _TEMPLATE = "regexp_replace(regexp_replace(lower({0}), '[0-9]', '#', 'g'), '[^a-z0-9㐀-鿿]', '', 'g') || CASE WHEN regexp_matches(lower({0}), '[0-9]') THEN '#' ELSE '' END"
 
 

@@ -1,5 +1,7 @@
 """Queries that have to cover whole tables and whole texts: made-up tables on which a cut shows."""
 
+import hashlib
+
 import pytest
 
 from tessera.plans import load_catalog
@@ -36,3 +38,12 @@ def test_cap_by_whole_templates(spark, tables):
     assert len(rows) == 25 and len(short) == 12
     assert sum(r.selected for r in short) == 3 and all(r.selected for r in rows if r not in short)
     assert {r.reasons for r in rows if not r.selected} == {"repetitive_template_cap"}
+
+
+def test_masks_whole_texts(spark, tables):
+    long = "x " * 40_000 + "password=hunter2"
+    texts = [long, "access_token=abc, y", '{"password": "p q"}', "Bearer  ab.c;", "token word", None]
+    d = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    want = [long.replace("hunter2", "[REDACTED]"), "access_token=[REDACTED], y", '{"password": "[REDACTED] q"}', "Bearer  [REDACTED];", "token word", None]
+    got = {r.doc_id: r.masked_sha256 for r in QUERIES["masked_texts"](spark, d).collect()}
+    assert [got[i] for i in range(6)] == [w and hashlib.sha256(w.encode()).hexdigest() for w in want]
