@@ -34,12 +34,29 @@ def html_visible_text(spark, d):
 
 @query("date_resolution", "SELECT doc_id, CASE WHEN v = '' THEN NULL ELSE v END AS value, CASE WHEN v = '' THEN 'unknown' ELSE 'year' END AS precision FROM (SELECT item_id AS doc_id, regexp_extract('in ' || (1990 + item_id % 40) || ' ' || left(text, 10), '((?:19|20)[0-9]{2})', 1) AS v FROM benchmark)")
 def date_resolution(spark, d):
-    """Texts with a year put before them."""
+    """Beginnings of benchmark items with a year put before them, as its SQL says; ``document_dates`` resolves whole texts."""
     b = read(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("in "), 1990 + F.col("item_id") % 40, F.lit(" "), F.substring("text", 1, 10)).alias("t"))
     r = b.select("doc_id", pk.resolved_date(F.col("t"), F.lit("2024-01-01").cast("date")).alias("r"))
     return r.select("doc_id", "r.value", "r.precision")
 
 
+_YMD, _YM, _MD = "((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})", "((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})", "(?:^|[^0-9])([0-9]{1,2})月([0-9]{1,2})日?"
+_DATES = f"""WITH t AS (SELECT doc_id, text, {", ".join(f"regexp_extract(text, '{p}', {k}) AS {n}{k}" for n, p, most in (("f", _YMD, 3), ("m", _YM, 2), ("d", _MD, 2)) for k in range(1, most + 1))}, regexp_extract(text, '(?:19|20)[0-9]{{2}}') AS y FROM documents),
+r AS (SELECT doc_id, CASE WHEN contains(text, '前天') THEN ['2023-12-30', 'day'] WHEN contains(text, '昨天') THEN ['2023-12-31', 'day'] WHEN contains(text, '今天') THEN ['2024-01-01', 'day'] WHEN contains(text, '明天') THEN ['2024-01-02', 'day'] WHEN contains(text, '后天') THEN ['2024-01-03', 'day']
+  WHEN try_cast(f1 || '-' || f2 || '-' || f3 AS DATE) IS NOT NULL THEN [try_cast(f1 || '-' || f2 || '-' || f3 AS DATE)::VARCHAR, 'day']
+  WHEN try_cast(m2 AS INT) BETWEEN 1 AND 12 THEN [m1 || '-' || lpad(m2, 2, '0'), 'month']
+  WHEN try_cast(d1 AS INT) BETWEEN 1 AND 12 AND try_cast(d2 AS INT) BETWEEN 1 AND 31 THEN ['--' || lpad(d1, 2, '0') || '-' || lpad(d2, 2, '0'), 'month_day']
+  WHEN y <> '' THEN [y, 'year'] ELSE [NULL, 'unknown'] END AS r FROM t)
+SELECT doc_id, r[1] AS value, r[2] AS precision FROM r"""
+
+
+@query("document_dates", _DATES)
+def document_dates(spark, d):
+    """The date that each whole document names; today is 2024-01-01."""
+    r = read(spark, d, "documents", "doc_id", "text").select("doc_id", pk.resolved_date(F.col("text"), F.lit("2024-01-01").cast("date")).alias("r"))
+    return r.select("doc_id", "r.value", "r.precision")
+
+
 @query("char_budget", "WITH RECURSIVE i AS (SELECT conv_id, turn, len(coalesce(text, ''))::INT AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), f AS (SELECT conv_id, turn, k, c <= 600 AS kept, CASE WHEN c <= 600 THEN c ELSE 0 END AS used FROM i WHERE k = 1 UNION ALL SELECT i.conv_id, i.turn, i.k, used + c <= 600, CASE WHEN used + c <= 600 THEN used + c ELSE used END FROM f JOIN i ON i.conv_id = f.conv_id AND i.k = f.k + 1) SELECT conv_id, turn FROM f WHERE kept")
 def char_budget(spark, d):
     """Turns that fit into 600 characters, in order; those that don't are skipped."""

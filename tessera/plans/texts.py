@@ -91,6 +91,28 @@ def term_bigram_counts(spark, d):
     return read(spark, d, "benchmark", "item_id", "text").select("item_id", F.size(tx.term_bigrams("text")).alias("n"))
 
 
+@query("document_token_counts", "SELECT t AS token, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS t FROM documents) GROUP BY 1")
+def document_token_counts(spark, d):
+    """Over whole documents; the SQL has no CJK runs, as the tables have none."""
+    return read(spark, d, "documents", "text").select(F.explode(tx.lexical_tokens("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "document_shingle_counts",
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM documents)
+    SELECT doc_id, len(list_distinct([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)]))::INT AS n FROM t""",
+)
+def document_shingle_counts(spark, d):
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(tx.token_shingles("text")).alias("n"))
+
+
+@query("document_bigram_counts", r"SELECT doc_id, CASE WHEN len(s) < 2 THEN 0 ELSE len(list_distinct([s[i:i+1] for i in range(1, len(s))])) END::INT AS n FROM (SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}_]+', '', 'g') AS s FROM documents)")
+def document_bigram_counts(spark, d):
+    """Characters are split once: cut out by position, long texts would take time by the square of their length."""
+    c = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.split(F.regexp_replace("text", r"(?U)\W+", ""), "").alias("s"))
+    return c.select("doc_id", F.size(F.array_distinct(F.expr("zip_with(slice(s, 1, greatest(size(s) - 1, 0)), slice(s, 2, greatest(size(s) - 1, 0)), (x, y) -> concat(x, y))"))).alias("n"))
+
+
 @query("nfkc_normalise")
 def nfkc_normalise(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.normalized("text"), 256).alias("normal_sha256"))

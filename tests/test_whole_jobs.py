@@ -1,6 +1,7 @@
 """Queries that have to cover whole tables and whole texts: made-up tables on which a cut shows."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -47,3 +48,22 @@ def test_masks_whole_texts(spark, tables):
     want = [long.replace("hunter2", "[REDACTED]"), "access_token=[REDACTED], y", '{"password": "[REDACTED] q"}', "Bearer  [REDACTED];", "token word", None]
     got = {r.doc_id: r.masked_sha256 for r in QUERIES["masked_texts"](spark, d).collect()}
     assert [got[i] for i in range(6)] == [w and hashlib.sha256(w.encode()).hexdigest() for w in want]
+
+
+def test_documents_are_counted_whole(spark, tables):
+    texts = ["a b c a b c", "", "long " * 3000 + "end Ünï_1", "x"]
+    d = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    counts = lambda name: {r.doc_id: r.n for r in QUERIES[name](spark, d).collect()}
+    joined = [re.sub(r"\W+", "", t) for t in texts]
+    assert counts("document_bigram_counts") == {i: len({s[k : k + 2] for k in range(len(s) - 1)}) for i, s in enumerate(joined)}
+    words = [re.findall(r"\w+|[^\w\s]", t.lower()) for t in texts]
+    assert counts("document_shingle_counts") == {i: len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) for i, w in enumerate(words)}
+    assert {r.token: r.n for r in QUERIES["document_token_counts"](spark, d).collect()}["long"] == 3000
+
+
+def test_dates_of_whole_documents(spark, tables):
+    pad = "word " * 50
+    texts = [pad + x for x in ("2021-05-06", "2021-02-30", "3月5日", "in 1999", "昨天", "none")]
+    d = tables(documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (r.value, r.precision) for r in QUERIES["document_dates"](spark, d).collect()}
+    assert [got[i] for i in range(6)] == [("2021-05-06", "day"), ("2021-02", "month"), ("--03-05", "month_day"), ("1999", "year"), ("2023-12-31", "day"), (None, "unknown")]
