@@ -43,14 +43,14 @@ def with_statistics(df: DataFrame, text: str) -> DataFrame:
     """``df`` plus the columns of ``STATISTICS`` and ``COUNTS``; names with ``__`` are in use on the way."""
     keep = df.columns
     trimmed = F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACE))
-    out = df.withColumn("__t", trimmed)
-    out = out.withColumns({"__w": F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", r"[ \t-\r]+")), "__l": F.expr(r"filter(split(__t, '\n'), l -> btrim(l, ' \t\u000b\f\r') <> '')")})
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = df.withColumns({"__t": trimmed, "__raw": raw})
+    out = out.withColumns({"__w": F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", r"[ \t-\r]+")), "__l": F.expr(r"filter(split(__raw, '\n'), l -> btrim(l, ' \t\u000b\f\r') <> '')")})
     out = out.withColumns({"n_words": F.size("__w").cast("long"), "__h": F.expr("transform(slice(__w, 1, greatest(size(__w) - 4, 0)), (w, i) -> xxhash64(w, get(__w, i + 1), get(__w, i + 2), get(__w, i + 3), get(__w, i + 4)))")})
     out = out.withColumn("__b", F.length(F.bin("n_words")).cast("int"))
     out = out.withColumn("__k", F.expr("CASE WHEN size(array_distinct(__h)) < size(__h) THEN sort_array(transform(__h, (h, i) -> shiftleft(h, __b) | i)) ELSE cast(array() AS array<bigint>) END"))
     same = "(shiftright(get(__k, i {0} 1), __b) = shiftright(k, __b) AND get(__h, cast(get(__k, i {0} 1) & (shiftleft(1L, __b) - 1) AS int)) = get(__h, cast(k & (shiftleft(1L, __b) - 1) AS int)))"
     out = out.withColumn("__p", F.expr(f"sort_array(transform(filter(__k, (k, i) -> coalesce({same.format('-')}, false) OR coalesce({same.format('+')}, false)), k -> k & (shiftleft(1L, __b) - 1)))"))
-    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = out.withColumns(
         {
             "word_chars": F.length(F.array_join("__w", "")).cast("long"),

@@ -78,3 +78,9 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
     assert learn_from(docs, labels).rules == () and judge(docs, DecisionList(())).count() == 0
+
+
+def test_lines_keep_the_edges_of_the_text(spark):
+    texts = ["x\nx ", "x\r\nx\r\n", " x\nx", "\nx\nx\n"]
+    got = {r.doc_id: r.n_dup_lines for r in judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), DecisionList(())).collect()}
+    assert [got[i] for i in range(4)] == [brute(t)[3] for t in texts] == [0, 1, 0, 1]
