@@ -12,8 +12,8 @@ the walk is the path of the word at hand.
 Defined results: null texts count as empty and give no tokens; white space, lone
 controls and any other code points are kept by the byte alphabet, so decoding
 returns the very text; repeated rows give repeated results; texts are encoded
-whole, whatever their length.  The memo of chunks is cleared when it is full, so
-memory is bounded and the results don't depend on it.
+whole, whatever their length.  The memo of chunks has two generations of bounded
+size, so memory is bounded and the results don't depend on it.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import map_batches, table
 
-#: Chunks, words and token pairs kept by a Python worker before its memo is cleared (about 200 bytes each).
-MEMO_CHUNKS = 400_000
+#: Chunks, words and token pairs (about 200 bytes each) after which a worker's memo gets a new generation; the one before is kept, and
+#: what is still in use moves over, so a worker holds twice as many at most.
+MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 150_000, 75_000, 200_000
 #: Fixed by the byte-level pre-tokenizer of the file format.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,16 +48,26 @@ def byte_alphabet() -> dict[str, int]:
 
 #: Before a single space that stands between non-spaces pre-tokens end, whatever stands around.
 CUT = re.compile(r" (?<=\S )(?=\S)")
+#: Without neighbours among white space, and none at the ends, all spaces are of that kind.
+GAPS = re.compile(r"\s\s")
 
 
 def pieces(text: str) -> list[str]:
     """The text cut before such spaces; joined they give the text again."""
     if not text:
         return []
-    first, *rest = CUT.split(text)
+    plain = text[0] != " " and text[-1] != " " and not GAPS.search(text)
+    first, *rest = text.split(" ") if plain else CUT.split(text)
     return [first, *map(" ".__add__, rest)]
 
 
+def _fresh(wanted: set[str], memo: dict[str, bytes], before: dict[str, bytes]) -> list[str]:
+    """What neither generation of the memo holds; what the one before holds moves to ``memo``."""
+    moved = wanted & before.keys()
+    memo.update((x, before[x]) for x in moved)
+    return list(wanted - moved)
+
+
 class TrieBpe:
     """Encoder and decoder for one byte-level BPE file."""
 
@@ -95,7 +107,11 @@ class TrieBpe:
         self.edges: dict[int, tuple[list[tuple[int, float]], list[tuple[int, float]]]] = {}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.chunks_before: dict[str, bytes] = {}
+        # Bytes of each id, to be picked by arrays of ids.
+        self.spelled = np.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)], dtype=object)
 
     def merge(self, word: bytes) -> list[int]:
         """Plain BPE by merge ranks, for short strings."""
@@ -183,16 +199,19 @@ class TrieBpe:
     def encode_chunks(self, chunks: list[str]) -> None:
         """Encode the given pieces of text, each apart from its neighbours, into ``chunks``."""
         split = {c: self.pretoken.findall(c) for c in chunks}
-        fresh = {w for ws in split.values() for w in ws if w not in self.words}
-        self.encode_words(list(fresh))
         words = self.words
+        self.encode_words(_fresh({w for ws in split.values() for w in ws if w not in words}, words, self.words_before))
         for c, ws in split.items():
             self.chunks[c] = b"".join([words[w] for w in ws])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > MEMO_CHUNKS or len(self.words) > MEMO_CHUNKS or len(self.pairs) > MEMO_CHUNKS:
-            self.chunks, self.words, self.pairs = {}, {}, {}
+        if len(self.chunks) > MEMO_CHUNKS:
+            self.chunks_before, self.chunks = self.chunks, {}
+        if len(self.words) > MEMO_WORDS:
+            self.words_before, self.words = self.words, {}
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs = {}
         plain: list[list[str]] = []  # of each stretch between special tokens
         layout: list[list[int]] = []  # of each text: the stretches, and special tokens as -1 - id
         for text in texts:
@@ -205,15 +224,14 @@ class TrieBpe:
             plain.append(pieces(text[at:]))
             layout.append(row)
         known = self.chunks
-        self.encode_chunks(list(set().union(*plain).difference(known)))
+        self.encode_chunks(_fresh(set().union(*plain).difference(known), known, self.chunks_before))
         find = known.__getitem__
         done = [b"".join(map(find, parts)) for parts in plain]
         return [done[row[0]] if len(row) == 1 else b"".join([done[i] if i >= 0 else struct.pack("<I", -1 - i) for i in row]) for row in layout]
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens included; broken UTF-8 becomes U+FFFD."""
-        bytes_of = self.bytes_of
-        return b"".join([bytes_of[i] for (i,) in struct.iter_unpack("<I", ids)]).decode("utf-8", "replace")
+        return b"".join(self.spelled[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, TrieBpe] = {}
@@ -237,7 +255,6 @@ def encode(df: DataFrame, text: str, key: str, path: str | None = None, with_ids
 
     One narrow pass: no shuffle, and a lost executor costs only its tasks.
     """
-    small_batches(df.sparkSession)
     path = path or default_path()
     source = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = f"`{key}` {source.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -255,7 +272,7 @@ def encode(df: DataFrame, text: str, key: str, path: str | None = None, with_ids
                 names += ["token_ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

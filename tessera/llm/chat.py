@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import map_batches, table
 
 #: Conversations of one pack, on average at most.
 PACK = 256
@@ -152,7 +152,6 @@ PACK_SCHEMA = (
 
 def pack_rows(conversations: DataFrame, size: int = PACK) -> DataFrame:
     """Packs of the distinct conversations of ``conversations_of``; ``digest`` and ``leaf`` tell where each of them ends."""
-    small_batches(conversations.sparkSession)
     distinct = conversations.groupBy("__digest").agg(F.first("__turns").alias("__turns"))
     rooted = distinct.withColumn("__root", F.sha2(F.to_json(F.get("__turns", F.lit(0))).cast("binary"), 256))
     cells = rooted.groupBy("__root").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("__cells"))
@@ -183,7 +182,7 @@ def pack_rows(conversations: DataFrame, size: int = PACK) -> DataFrame:
         if held:
             yield out(key, digests, held)
 
-    return sorted_.mapInArrow(run, PACK_SCHEMA)
+    return map_batches(sorted_, run, PACK_SCHEMA)
 
 
 def read_back(packs: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def read_back(packs: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["__digest", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return packs.mapInArrow(run, "__digest string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return map_batches(packs, run, "__digest string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

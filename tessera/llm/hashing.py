@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of texts that are hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fold_of, small_batches, table
+from tessera.llm.common import cut, fold_of, map_batches, table
 from tessera.llm.hashing import _SPACE, INVERSE, U, _chunks, mixed, powers, prefix_hash
 
 CLASSES, ROWS, ROUNDS, TRAINERS = 32, 1 << 15, 2, 256
@@ -150,7 +150,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(df: DataFrame) -> DataFrame:
     """word, c for every token of the binary column of ``df``, the end included."""
-    return df.mapInArrow(_counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(df, _counted, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array([v[s] for s in n], pa.int64())], names=["shape", "n", "v"])
 
     # At most SHAPES + 1 rows of three numbers.
-    found = counts.mapInArrow(shapes, "shape bigint, n bigint, v bigint").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    found = map_batches(counts, shapes, "shape bigint, n bigint, v bigint").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     classes = np.full(SHAPES, CLASSES - 1, np.int64)
     tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     ranked = sorted((r for r in found if r["shape"] >= 0), key=lambda r: (-r["n"], r["shape"]))
@@ -209,7 +209,7 @@ def train(df: DataFrame, classes: np.ndarray, tokens: np.ndarray, rounds: int =
 
         part = df.where(F.col("__part") == r).select("__text")
         # ROWS x CLASSES weights from each trainer, of whom there are TRAINERS at most.
-        learned = part.coalesce(TRAINERS).mapInArrow(run, "block int, w binary, met binary").groupBy("block").applyInPandas(average, "block int, w binary").collect()
+        learned = map_batches(part.coalesce(TRAINERS), run, "block int, w binary, met binary").groupBy("block").applyInPandas(average, "block int, w binary").collect()
         weights = before.copy()
         for row in learned:
             w = np.frombuffer(row["w"], np.float32).reshape(BLOCK, CLASSES)
@@ -220,7 +220,6 @@ def train(df: DataFrame, classes: np.ndarray, tokens: np.ndarray, rounds: int =
 
 def score(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; what isn't held out is learned from."""
-    small_batches(df.sparkSession)
     source = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(held_out, F.lit(False)).alias("__held"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("__text"))
     known = source.where(~F.col("__held"))
     counts = cut(count_words(known.select("__text")))
@@ -266,7 +265,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_i
 
     id_type = source.schema["__id"].dataType.simpleString()
     numbered = source.select(F.monotonically_increasing_id().alias("__row"), "__id", "__held", "__text")
-    rows = cut(numbered.mapInArrow(run, f"__row bigint, __id {id_type}, __held boolean, n_tokens bigint, model double, met bigint, mass double, rare array<struct<word: binary, times: bigint>>"))
+    rows = cut(map_batches(numbered, run, f"__row bigint, __id {id_type}, __held boolean, n_tokens bigint, model double, met bigint, mass double, rare array<struct<word: binary, times: bigint>>"))
     rare = rows.select("__row", F.inline("rare")).join(counts, "word", "left")
     log = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise(F.log10(F.col("c") + F.lit(0.5)))
     summed = rare.groupBy("__row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("rare_met"), F.sum(F.col("times") * log).alias("rare_mass"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_batches, stored, table
+from tessera.llm.common import cut, map_batches, stored, table
 from tessera.llm.hashing import INVERSE, U, _chunks, mixed, powers, prefix_hash, window_hashes
 
 LENGTH, GRAM = 400, 64
@@ -248,7 +248,6 @@ def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans, kept_sha256 for each row; with ``with_text`` also kept, the bytes that stay."""
-    small_batches(df.sparkSession)
     source = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("__text"))
     rows = source.withColumn("digest", F.unhex(F.md5("__text")))
 
@@ -263,7 +262,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 at += len(part)
 
     long_rows = rows.where(F.length("__text") >= length)
-    placed = long_rows.select("digest", "__text").mapInArrow(to_runs, "mini bigint, digest binary, a int, b int").repartition("mini").dropDuplicates(["mini", "digest", "a"])
+    placed = map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").repartition("mini").dropDuplicates(["mini", "digest", "a"])
     counted = placed.withColumn("times", F.expr("count(*) OVER (PARTITION BY mini)"))
     wanted = cut(counted.where("times > 1"))
     by_text = wanted.groupBy("digest").agg(F.collect_list(F.struct("mini", "a", "b", (F.col("times") > hot).alias("hot"))).alias("runs"))
@@ -289,10 +288,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)), pa.array([digest] * n, pa.binary()), pa.array(np.arange(r["a"], r["a"] + n, dtype=np.int32))], names=["x", "y", "digest", "a"])
 
     picked = texts.select("digest", "__text", "runs")
-    segments = picked.mapInArrow(to_segments, "mini bigint, digest binary, a int, segment binary").repartition("mini").sortWithinPartitions("mini")
-    found = segments.mapInArrow(_sorted_groups(length), "digest binary, a int, b int")
+    segments = map_batches(picked, to_segments, "mini bigint, digest binary, a int, segment binary").repartition("mini").sortWithinPartitions("mini")
+    found = map_batches(segments, _sorted_groups(length), "digest binary, a int, b int")
     if wanted.where(F.col("times") > hot).limit(1).count():
-        windows = picked.mapInArrow(to_windows, "x bigint, y bigint, digest binary, a int")
+        windows = map_batches(picked, to_windows, "x bigint, y bigint, digest binary, a int")
         twice = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("x", "y")
         found = found.unionByName(windows.join(twice, ["x", "y"]).select("digest", "a", F.col("a").alias("b")))
     ranges = cut(found).groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
@@ -311,7 +310,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["digest", "removed", "spans", "sha", "rest"])
 
-    changed = texts.select("digest", "n", "__text").join(ranges, "digest", "left").mapInArrow(to_rest, "digest binary, removed bigint, spans bigint, sha string, rest binary")
+    changed = map_batches(texts.select("digest", "n", "__text").join(ranges, "digest", "left"), to_rest, "digest binary, removed bigint, spans bigint, sha string, rest binary")
     plain = rows.select("__id", "digest", F.length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("__sha"), *([F.col("__text")] if with_text else []))
     out = plain.join(changed, "digest", "left")
     kept = [F.coalesce("rest", "__text").alias("kept")] if with_text else []

@@ -25,13 +25,14 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, table
+from tessera.llm.common import map_batches, small_batches, table
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -64,7 +65,8 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     if not access:  # each weak kind needs one
         return []
     starts = paragraph_starts(text)
-    taken = [(s[0], s[2]) for s in base]
+    taken = [s[0] for s in base]
+    reach = list(accumulate((s[2] for s in base), max))  # the furthest end of the spans so far
 
     def near(start: int, end: int, parts: list[tuple[int, int]]) -> bool:
         """parts: sorted, not overlapping. Whether one of them stands within the scope of [start, end)."""
@@ -73,8 +75,8 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
         return any(max(p[0] - end, start - p[1]) <= scope and bisect_right(starts, p[0]) == paragraph for p in parts[max(0, k - 1) : k + 1] if p != (start, end))
 
     def free(m: re.Match) -> bool:
-        k = bisect_left(taken, (m.end(), 0))
-        return not any(s < m.end() and m.start() < e for s, e in taken[max(0, k - 3) : k])
+        k = bisect_left(taken, m.end())  # the spans before k start before the match ends
+        return not k or reach[k - 1] <= m.start()
 
     at_access = [(s[0], s[2]) for s in access]
     bare = [(m.start(), m.end()) for m in BARE.finditer(text) if free(m) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
@@ -107,10 +109,9 @@ def masked(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
 
 
 def scan(df: DataFrame, text: str, key: str, scope: int = SCOPE) -> DataFrame:
-    """Columns ``key``, n_assign, n_access, n_hex, base_sha256, spans and redacted (the text with spans masked); one narrow pass."""
-    small_batches(df.sparkSession)
-    source = df.select(F.col(key), F.col(text).alias("__text"))
-    schema = f"`{key}` {source.schema[key].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, redacted string"
+    """Columns ``key``, n_assign, n_access, n_hex, base_sha256 and spans; one narrow pass."""
+    source = df.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    schema = f"__id {source.schema['__id'].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,26 +120,30 @@ def scan(df: DataFrame, text: str, key: str, scope: int = SCOPE) -> DataFrame:
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
             digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             spans = pa.array([written(every) for _, every in found], pa.string())
-            redacted = pa.array([x and masked(x, every) for x, (_, every) in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, spans, redacted], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, spans], names=["__id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema).withColumnRenamed("__id", key)
 
 
 def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars", scope: int = SCOPE) -> DataFrame:
     """All rows and columns of ``df`` with secrets masked in ``text``; ``n_chars`` follows where it was the text's length."""
+
     small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: x and masked(x, find_spans(x, scope)[1]))
 
-    old, new = F.col(f"`{text}`"), F.col("__masked")
-    done = df.withColumn("__masked", mask(old))
-    counted = {n_chars: F.when(F.col(f"`{n_chars}`") == F.length(old), F.length(new).cast(df.schema[n_chars].dataType)).otherwise(F.col(f"`{n_chars}`"))} if n_chars in df.columns else {}
-    return done.select(*[(new if c == text else counted.get(c, F.col(f"`{c}`"))).alias(c) for c in df.columns])
+    # the row in a struct of its own, so that no column name of it can clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    done = rows.select("row", mask(F.col("row")[text]).alias("masked"))
+    values = {c: F.col("row")[c] for c in df.columns}
+    if n_chars in values:
+        values[n_chars] = F.when(values[n_chars] == F.length(values[text]), F.length("masked").cast(df.schema[n_chars].dataType)).otherwise(values[n_chars])
+    values[text] = F.col("masked")
+    return done.select(*[values[c].alias(c) for c in df.columns])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every whole text of ``documents``."""
-    return scan(table(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id").drop("redacted")
+    return scan(table(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of, small_batches, table
+from tessera.llm.common import fold_of, map_batches, table
 
 #: Entries of the lexicon, at most; exception phrases, at most.
 TERMS, EXCEPTIONS = 2000, 500
@@ -171,7 +171,7 @@ def _count_terms(rows: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]
                 counts.clear()
         yield out()
 
-    grouped = rows.select("__text", "__y").mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    grouped = map_batches(rows.select("__text", "__y"), run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # Most certain first; ties by term. What comes to the driver is bounded.
     found = grouped.where((F.col("term") == "") | ((F.col("bad") >= 4) & (F.col("bad") > F.col("good")))).orderBy(F.col("term") != "", (F.col("bad") / (F.col("good") + 0.5)).desc(), F.col("bad").desc(), "term").limit(20 * TERMS).collect()
     total = next(((r.bad, r.good) for r in found if r.term == ""), (0, 0))
@@ -203,7 +203,7 @@ def _count_exceptions(rows: DataFrame, weights: dict[str, float]) -> frozenset[s
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in keys], pa.string()), pa.array([counts[k] if k[1] else 0 for k in keys], pa.int64()), pa.array([0 if k[1] else counts[k] for k in keys], pa.int64())], names=["term", "bad", "good"])
 
-    grouped = rows.select("__text", "__y").mapInArrow(run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    grouped = map_batches(rows.select("__text", "__y"), run, "term string, bad bigint, good bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     found = grouped.where((F.col("good") >= 3) & (F.col("good") > 10 * F.col("bad"))).orderBy(F.col("good").desc(), "term").limit(EXCEPTIONS).collect()
     return frozenset(r.term for r in found)
 
@@ -225,7 +225,6 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the documents that ``labels`` covers (label 1: toxic). Give it training rows only."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(label).alias("__y"))
     known = known.withColumn("__o", F.xxhash64("__id", F.lit(9))).orderBy("__o", "__id").limit(sample).select("__id", "__y")
     # `sample` ids and labels: the side that is broadcast has a proven bound.
@@ -243,14 +242,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             x = [lexicon.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in x], pa.float64()) for i in range(3)] + [batch.column(1).cast(pa.int64())], names=["a", "b", "c", "y"])
 
-    found = rows.select("__text", "__y").mapInArrow(run, "a double, b double, c double, y bigint").collect()
+    found = map_batches(rows.select("__text", "__y"), run, "a double, b double, c double, y bigint").collect()
     x, y = np.array([r[:3] for r in found], float), np.array([r.y for r in found], float)
     return Lexicon(weights, exceptions, _fit(x, y))
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``df`` without ``text`` plus score and predicted; one narrow pass with the lexicon (bounded by its maker) in the closure."""
-    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c != text]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest)
@@ -261,7 +259,7 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float
             s = [lexicon.score(t) for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*rest, "score", "predicted"])
 
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return map_batches(source, run, f"{fields}, score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
