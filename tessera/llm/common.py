@@ -79,7 +79,12 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store and all in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``, once nothing that is still to run reads it."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._stored_at)
