@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, quality, secrets
-from tessera.llm.common import ensure_checkpoints, table
+from tessera.llm.common import delete, ensure_checkpoints, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text, so repeated and missing ids don't matter; a null id comes last.
     """
-    columns = docs.columns
     id_, text = F.col("doc_id"), F.col("text")
-    keyed = docs.withColumn("__key", F.struct(id_.isNull().alias("a"), id_.alias("b"), text.isNull().alias("c"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("d")))
-    classes = jaccard.jaccard_classes(keyed.select("__key", "text"), key="__key")
-    stays = classes.where("__key = class_id").groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = keyed.join(stays, "__key")
-    return kept.where("__rows = 1").select(*columns).unionByName(kept.where("__rows > 1").dropDuplicates(["__key"]).select(*columns))
+    key = F.struct(id_.isNull().alias("a"), id_.alias("b"), text.isNull().alias("c"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("d"))
+    classes = jaccard.jaccard_classes(docs.select(key.alias("__key"), "text"), key="__key")
+    stays = classes.where("__key = class_id").groupBy("__key").agg(F.count(F.lit(1)).alias("__times"))
+    # the row in a struct of its own, so that no column name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key")).join(stays, "__key")
+    kept = rows.where("__times = 1").select("__row").unionByName(rows.where("__times > 1").dropDuplicates(["__key"]).select("__row"))
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            delete(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(f"{base}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
