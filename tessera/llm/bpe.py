@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, table
+from tessera.llm.common import CACHES, map_batches, table
 
 #: Chunks, words and token pairs (about 200 bytes each) after which a worker's memo gets a new generation; the one before is kept, and
 #: what is still in use moves over, so a worker holds twice as many at most.
@@ -235,6 +235,7 @@ class TrieBpe:
 
 
 _LOADED: dict[str, TrieBpe] = {}
+CACHES["bpe"] = _LOADED.clear
 
 
 def tokenizer(path: str) -> TrieBpe:
@@ -272,7 +273,7 @@ def encode(df: DataFrame, text: str, key: str, path: str | None = None, with_ids
                 names += ["token_ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return map_batches(source, run, schema)
+    return map_batches(source, run, schema, cache="bpe")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,7 @@ def pack_rows(conversations: DataFrame, size: int = PACK, tokenizer: str | None
         if held:
             yield out(key, digests, held)
 
-    return map_batches(sorted_, run, PACK_SCHEMA)
+    return map_batches(sorted_, run, PACK_SCHEMA, cache="bpe")
 
 
 def read_back(packs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -250,7 +250,7 @@ def read_back(packs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["__digest", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return map_batches(packs, run, "__digest string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return map_batches(packs, run, "__digest string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint", cache="bpe")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,17 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` in bounded batches, by workers that don't hold on to memory between tasks."""
+#: What empties the caches that operators keep in Python workers, by name.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, cache: str = "") -> DataFrame:
+    """``df.mapInArrow`` in bounded batches, by workers that don't hold on to memory between tasks nor to caches other than ``cache``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, empty in CACHES.items():
+            if name != cache:
+                empty()
         yield from run(batches)
         give_back()
 
