@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_shingles
+from tessera.operators.materialize import cut
 
 
 def exact_duplicates(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -32,40 +32,44 @@ def duplicate_id_count(df: DataFrame, key: str) -> DataFrame:
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float, n: int = 3) -> DataFrame:
     """a < b and their Jaccard similarity, exactly, for all pairs at the threshold or above.
 
-    Pairs meet on shingles of their prefixes: ordered from rare to frequent, two sets this
-    similar share one of the first size - ceil(threshold * size) + 1.  Texts without shingles meet by equality.
+    Texts with the same shingles are one set from the start, so copies cost one member; only the result spells their pairs out.
+    Sets meet on shingles of their prefixes: ordered from rare to frequent, two sets this
+    similar share one of the first size - ceil(threshold * size) + 1.  Texts without shingles are the same set if they are equal.
     """
-    sets = df.select(F.col(key).alias("id"), token_shingles(text, n).alias("s"), F.trim(text).alias("t"))
-    grams = sets.select("id", F.explode("s").alias("g"), F.size("s").alias("m"))
-    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ranked = grams.join(freq, "g").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "g")))
-    # shingles of one text alone can't be shared
-    prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1) & (F.col("f") > 1)).select("id", "g", "m")
+    rows = df.select(F.col(key).alias("id"), F.array_sort(token_shingles(text, n)).alias("s"), F.trim(F.coalesce(text, F.lit(""))).alias("t"))
+    rows = rows.withColumn("h", F.when(F.size("s") > 0, F.sha2(F.array_join("s", "\n").cast("binary"), 256)).otherwise(F.concat(F.lit("="), F.sha2(F.col("t").cast("binary"), 256))))
+    members = cut(rows.select("id", "h"))
+    sets = cut(rows.where(F.size("s") > 0).groupBy("h").agg(F.first("s").alias("s")))
+    grams = sets.select("h", F.explode("s").alias("g"), F.size("s").alias("m"))
+    freq = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # shingles of one set alone can't be shared; the others are ranked after them
+    own = grams.join(freq, "g")
+    common = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("f", "g"))).join(common, "h")
+    prefix = ranked.where(F.col("r") + F.col("m") - F.col("c") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m")) + 1).select("h", "g", "m")
     a, b = prefix.alias("a"), prefix.alias("b")
     fits = (F.col("b.m") >= F.lit(threshold) * F.col("a.m")) & (F.col("a.m") >= F.lit(threshold) * F.col("b.m"))
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    jaccard = shared / (F.size("sa") + F.size("sb") - shared)
-    some = met.join(x, "a").join(y, "b").withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    blank = sets.where(F.size("s") == 0).select("id", "t")
-    p, q = blank.alias("p"), blank.alias("q")
-    same = p.join(q, (F.col("p.t") == F.col("q.t")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.lit(1.0).alias("jaccard"))
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.h") < F.col("b.h")) & fits).select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
+    left, right = sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), sets.select(F.col("h").alias("y"), F.col("s").alias("sy"))
+    shared = F.size(F.array_intersect("sx", "sy"))
+    near = met.join(left, "x").join(right, "y").withColumn("jaccard", shared / (F.size("sx") + F.size("sy") - shared)).where(F.col("jaccard") >= threshold).select("x", "y", "jaccard")
+    of = lambda side: members.select(F.col("id").alias(f"id_{side}"), F.col("h").alias(side))
+    low, high = F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")
+    some = near.join(of("x"), "x").join(of("y"), "y").select(low, high, "jaccard")
+    same = of("x").join(of("y"), (F.col("x") == F.col("y")) & (F.col("id_x") < F.col("id_y"))).select(low, high, F.lit(1.0).alias("jaccard"))
     return some.unionByName(same)
 
 
-def greedy_kept(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 100) -> DataFrame:
+def greedy_kept(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Keys that a pass in key order keeps, where a row goes if it is near one kept before.
 
     By rounds: a row is decided once all its earlier neighbours are; each round keeps the rows
     whose earlier neighbours are all gone, and drops the later neighbours of kept rows.  Every
     round is a join on what is undecided, and rounds are as many as the longest chain.
     """
-    from tessera.operators.materialize import cut
-
     left = cut(pairs.select("a", "b"))
     dropped = None
-    for _ in range(rounds):
+    while True:
         # heads: in some pair, but nobody's later neighbour any more
         heads = left.select(F.col("a").alias("k")).distinct().join(left.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
         gone = left.join(heads, left.a == heads.k, "left_semi").select(F.col("b").alias("k")).distinct()
@@ -75,14 +79,3 @@ def greedy_kept(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 100) ->
         left = cut(rest.join(gone, rest.b == gone.k, "left_anti"))
         if left.limit(1).count() == 0:
             return df.select(key).join(dropped.select(F.col("k").alias(key)), key, "left_anti")
-    raise RuntimeError(f"a chain of near duplicates is longer than {rounds}")
-
-
-def in_batches(df: DataFrame, f, schema: str) -> DataFrame:
-    """``f`` (pandas frame to pandas frame) over the rows, a batch at a time."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield f(frame)
-
-    return df.mapInPandas(run, schema)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import share
 from tessera.functions.text import windows
+from tessera.operators.splits import running_sum
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -37,8 +38,7 @@ def macro(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the curve by average ranks; rows are summed per score first, so ties and order cost no sort of all rows."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w = Window.orderBy("s")
-    below = per.withColumn("less", F.sum("q").over(w) - F.col("q"))
+    below = running_sum(per, ["s"], "q", "less")
     u = F.sum(F.col("p") * (F.col("less") + F.col("q") / 2))
     return below.agg(F.round(u / (F.sum("p") * F.sum("q")), 9).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 

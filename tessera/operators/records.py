@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.splits import positioned
+
 from tessera.operators.dedup import keep_first
 
 
@@ -77,8 +79,8 @@ def ranked_runs(runs: DataFrame, metric: str, identity: Sequence[str], run: str
     reasons = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__ref.{c}")), F.lit(c)) for c in identity], F.when(F.col(metric).isNull(), F.lit("missing_metric"))))
     d = d.withColumn("reasons", F.array_join(reasons, ",")).withColumn("ok", F.col("reasons") == "")
     order = F.col(metric).desc() if descending else F.col(metric).asc()
-    kept = d.where("ok").withColumn("rank", F.row_number().over(Window.orderBy(order, run)))
-    return kept.select(run, metric, "reasons", "rank").unionByName(d.where("NOT ok").select(run, metric, "reasons", F.lit(None).cast("int").alias("rank")))
+    kept = positioned(d.where("ok").select(run, metric, "reasons"), [order, F.col(run)])
+    return kept.select(run, metric, "reasons", (F.col("__position") + 1).cast("int").alias("rank")).unionByName(d.where("NOT ok").select(run, metric, "reasons", F.lit(None).cast("int").alias("rank")))
 
 
 def inbox(df: DataFrame, keys: Sequence[str], digest: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
+from tessera.operators.materialize import cut
 
 
 def hash_unit(key: Column | str, seed: int) -> Column:
@@ -22,19 +23,24 @@ def split_by_rank(rank: Column, n: Column, train: float, validation: float) -> C
     return F.when(rank < a, "train").when(rank < a + b, "validation").otherwise("test")
 
 
-def chronological_split(df: DataFrame, order: Sequence[str], train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """``df`` plus split by position in the order.
+def positioned(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` plus __position (from 0) in the order and __all, the number of rows.
 
-    Positions come from a range-partitioned sort: rows before each range are counted first, so no
-    task orders all rows.  Order columns have to tell rows apart.
+    A range-partitioned sort is written once, each row with its number inside its range; rows before each range are counted
+    from that table.  So no task orders all rows.  The order has to tell rows apart.
     """
-    sorted_ = df.select(*order).repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    # ranges don't overlap, so a row's place is its range's offset plus its place inside
-    inside = sorted_.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = inside.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumns({"__before": F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())})
-    placed = inside.join(F.broadcast(before), "__p")  # a row for each partition of the sort
-    return placed.withColumn("split", split_by_rank(F.col("__before") + F.col("__r") - 1, F.col("__all"), train, validation)).select(*order, "split")
+    numbered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    # by its definition, the upper bits name the partition and the lower 33 the row in it
+    rows = numbered.withColumns({"__p": F.shiftright("__m", 33), "__r": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m")
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    placed = rows.join(F.broadcast(before), "__p")  # a row for each partition of the sort
+    return placed.withColumn("__position", F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
+
+
+def chronological_split(df: DataFrame, order: Sequence[str], train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """The order columns plus split by position in the order; order columns have to tell rows apart."""
+    return positioned(df.select(*order), order).withColumn("split", split_by_rank(F.col("__position"), F.col("__all"), train, validation)).select(*order, "split")
 
 
 def group_split(df: DataFrame, group: str, train: float, validation: float, seed: int = 42) -> DataFrame:
@@ -43,20 +49,30 @@ def group_split(df: DataFrame, group: str, train: float, validation: float, seed
     return df.withColumn("split", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 
-def quantile_strata(df: DataFrame, value: str, tie: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+def quantile_strata(df: DataFrame, value: str, tie: str, bins: int) -> DataFrame:
     """``df`` plus stratum: equal-frequency bins of the rank, at most max(2, n // 20) of them."""
-    w = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
+    n, r = F.col("__all"), F.col("__position")
     q = F.least(F.lit(bins), F.greatest(F.lit(2), F.floor(n / 20))).cast("int")
-    r = F.row_number().over(w.orderBy(value, tie))
-    stratum = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.ceil((r - 1) * q / (n - 1)), F.lit(1)) - 1)
-    return df.withColumn("stratum", stratum.cast("int"))
+    stratum = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.ceil(r * q / (n - 1)), F.lit(1)) - 1)
+    return positioned(df, [value, tie]).withColumn("stratum", stratum.cast("int")).drop("__position", "__all")
 
 
 def stratified_folds(df: DataFrame, stratum: Sequence[str], key: str, k: int, seed: int = 42) -> DataFrame:
     """``df`` plus fold in 0..k-1, even within strata, in hash order of the key."""
-    w = Window.partitionBy(*stratum).orderBy(hash_unit(key, seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    placed = positioned(df.withColumn("__u", hash_unit(key, seed)), [*stratum, "__u", key])
+    first = placed.groupBy(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(stratum)]).agg(F.min("__position").alias("__first"))
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(stratum)]
+    folded = placed.join(first, same).withColumn("fold", ((F.col("__position") - F.col("__first")) % k).cast("int"))
+    return folded.select(*df.columns, "fold")
+
+
+def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
+    """``df`` plus the sum of ``value`` over all rows before, in an order that tells rows apart; ranges are summed first, as in ``positioned``."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p").agg(F.sum(value).alias("__s"))
+    before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order)) - F.col(value)
+    return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__inside")).drop("__p", "__inside", "__before")
 
 
 def overlap(df: DataFrame, value: str, part: str) -> DataFrame:
