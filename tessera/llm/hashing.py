@@ -50,6 +50,17 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mixed((h[size:] - h[:n]) * powers(INVERSE, n)) if n > 0 else np.zeros(0, U)
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and the place of each text's first word (and the end); words are runs of anything but ASCII white space."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    h = prefix_hash(data)
+    words = mixed((h[ends] - h[starts]) * powers(INVERSE, len(data))[starts])
+    return words, np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+
+
 def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``words``-word shingles of each text.
 
@@ -58,14 +69,7 @@ def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     """
     out: list[np.ndarray] = []
     for part in _chunks(texts):
-        data = np.frombuffer(b" " + b" ".join(part) + b" ", np.uint8)
-        space = _SPACE[data]
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        h = prefix_hash(data)
-        w = mixed((h[ends] - h[starts]) * powers(INVERSE, len(data))[starts])
-        edges = np.cumsum([1, *(len(t) + 1 for t in part)])
-        first = np.searchsorted(starts, edges)
+        w, first = word_hashes(part)
         m = U(0xD1342543DE82EF95)
         if len(w) >= words:
             s = w[: len(w) - words + 1].copy()
@@ -76,10 +80,10 @@ def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
             if b - a >= words:
                 out.append(np.unique(s[a : b - words + 1]))
             elif b > a:
-                one = U(b - a)
+                one = np.array([b - a], U)
                 for x in w[a:b]:
                     one = one * m + x
-                out.append(mixed(np.array([one], U)))
+                out.append(mixed(one))
             else:
                 out.append(np.zeros(0, U))
     return out

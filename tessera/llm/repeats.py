@@ -20,6 +20,13 @@ first cut into segments that hold all that can match:
 * windows of a minimizer with more segments than that are counted by 128-bit hash instead, with partial aggregation: the exact way
   for hot passages.
 
+Beside the bytes, passages are told that are shorter than ``LENGTH`` bytes: of each text the word strings of ``WORDS`` words that are
+the least of some ``PASSAGE`` neighbouring words are taken (so each passage of that many words holds one, whatever stands around it),
+and ``n_passages`` counts those that stand in another document, too.  Texts are told apart there by 64 bits of their digest.
+
+Counts by minimizer or word string are partial aggregates, joined back with ``SALTS`` salts, so a passage that a third of the documents
+share is no task's alone.
+
 Defined results: null and empty texts have no bytes and keep the digest of nothing; matches never cross documents; texts shorter
 than ``LENGTH`` stay whole; repeated rows (equal id and text, too) are documents of their own, so they match each other;
 a null id is kept; the input alone decides, not what is left of other texts; empty tables give no rows.
@@ -32,17 +39,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_batches, stored, table
-from tessera.llm.hashing import INVERSE, U, _chunks, mixed, powers, prefix_hash, window_hashes
+from tessera.llm.common import cut, discard, map_batches, stored, table
+from tessera.llm.hashing import BASE, INVERSE, U, _chunks, mixed, powers, prefix_hash, window_hashes, word_hashes
 
 LENGTH, GRAM = 400, 64
 #: Segments of one minimizer that are sorted together, at most.
 HOT = 20_000
 #: Bytes of distinct segments that are sorted together, about.
 BATCH = 1 << 16
+#: Words of the strings that tell passages, and of the shortest passage that is sure to hold one.
+WORDS, PASSAGE = 24, 51
+#: Parts into which the rows of one key are dealt when a count is joined back.
+SALTS = 8
 NONE = 255  # no symbol; never a byte of UTF-8
 
 
@@ -83,6 +94,30 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return text[heads], least[heads].view(np.int64), heads - offset, stops - offset
 
 
+def passage_strings(texts: list[bytes], words: int = WORDS, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Parallel arrays text, hash of the distinct word strings that are the least of ``passage`` neighbouring words."""
+    owners, found = [], []
+    at = 0
+    for part in _chunks(texts):
+        hashes, first = word_hashes(part)
+        n = len(hashes)
+        h = np.zeros(n + 1, U)
+        np.cumsum(hashes * powers(BASE, n), out=h[1:])
+        strings = mixed((h[words:] - h[: n + 1 - words]) * powers(INVERSE, n)[: n + 1 - words]) if n >= words else np.zeros(0, U)
+        least = window_minima(strings, passage - words + 1)
+        text = np.repeat(np.arange(len(part)), np.diff(first))[: len(least)]
+        inside = np.arange(len(least)) + passage <= first[text + 1]
+        least, text = least[inside], text[inside]
+        # neighbours mostly have the same least
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+        pairs = np.unique(np.stack([text[new].astype(U), least[new]], axis=1), axis=0)
+        owners.append(pairs[:, 0].astype(np.int64) + at)
+        found.append(pairs[:, 1])
+        at += len(part)
+    return (np.concatenate(owners), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, U))
+
+
 def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, the starts of its ``length``-byte strings that start elsewhere in the segments, too."""
     m = len(segments)
@@ -206,10 +241,6 @@ def _sorted_groups(length: int):
             for (seg, who), starts in zip(group.items(), shared_windows(list(group), length), strict=True):
                 for a, b in _as_ranges(starts):
                     shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
-            if len(shared) == 1:
-                (seg, who), *_ = shared.items()
-                out.extend((digest, first, first + len(seg) - length) for digest, first in who)
-                return 0
             if shared:
                 held.append(shared)
             return sum(map(len, shared))
@@ -246,8 +277,32 @@ def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
+def with_count(rows: DataFrame, counts: DataFrame, key: str, part: Column, how: str) -> DataFrame:
+    """``rows`` joined with one row a key of ``counts``; rows of one key are dealt by ``part``."""
+    salted = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
+def shared_passages(rows: DataFrame) -> DataFrame:
+    """__t (a text's digest as a number), n_strings (its passage strings) and n_shared (those that stand in another text) from rows (digest, __text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal texts of this task are cut once
+        for batch in batches:
+            fresh = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not (t in seen or seen.add(t))]
+            owner, strings = passage_strings([x for _, x in fresh])
+            names = np.array([t for t, _ in fresh], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(strings.view(np.int64)), pa.array(names[owner])], names=["string", "__t"])
+
+    found = stored(map_batches(rows.select(F.xxhash64("digest").alias("__t"), "__text"), run, "string bigint, __t bigint").distinct())
+    shared = found.groupBy("string").agg(F.min("__t").alias("lo"), F.max("__t").alias("hi")).where("lo <> hi").select("string", F.lit(1).alias("shared"))
+    out = cut(with_count(found, shared, "string", F.col("__t"), "left").groupBy("__t").agg(F.count(F.lit(1)).alias("n_strings"), F.count("shared").alias("n_shared")))
+    discard(found)
+    return out
+
+
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """``key``, n_bytes, n_removed, n_spans, kept_sha256 for each row; with ``with_text`` also kept, the bytes that stay."""
+    """``key``, n_bytes, n_removed, n_spans, kept_sha256 and n_passages for each row; with ``with_text`` also kept, the bytes that stay."""
     source = df.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("__text"))
     rows = source.withColumn("digest", F.unhex(F.md5("__text")))
 
@@ -262,9 +317,9 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 at += len(part)
 
     long_rows = rows.where(F.length("__text") >= length)
-    placed = map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").repartition("mini").dropDuplicates(["mini", "digest", "a"])
-    counted = placed.withColumn("times", F.expr("count(*) OVER (PARTITION BY mini)"))
-    wanted = cut(counted.where("times > 1"))
+    placed = map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").dropDuplicates(["mini", "digest", "a"])
+    times = placed.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    wanted = cut(with_count(placed, times, "mini", F.struct("digest", "a"), "inner"))
     by_text = wanted.groupBy("digest").agg(F.collect_list(F.struct("mini", "a", "b", (F.col("times") > hot).alias("hot"))).alias("runs"))
     once = long_rows.groupBy("digest").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).alias("n"))
     texts = stored(once.join(by_text, "digest", "left").where("runs IS NOT NULL OR n > 1").select("digest", "n", "__text", "runs"))
@@ -312,9 +367,15 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
 
     changed = map_batches(texts.select("digest", "n", "__text").join(ranges, "digest", "left"), to_rest, "digest binary, removed bigint, spans bigint, sha string, rest binary")
     plain = rows.select("__id", "digest", F.length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("__sha"), *([F.col("__text")] if with_text else []))
-    out = plain.join(changed, "digest", "left")
+    # no text with fewer bytes has so many words
+    passable = rows.where(F.length("__text") >= 2 * PASSAGE - 1)
+    copies = passable.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.lit(True).alias("__copied"))
+    passages = shared_passages(passable)
+    out = plain.join(changed, "digest", "left").join(copies, "digest", "left").withColumn("__t", F.xxhash64("digest")).join(passages, "__t", "left")
     kept = [F.coalesce("rest", "__text").alias("kept")] if with_text else []
-    return out.select(F.col("__id").alias(key), "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "__sha").alias("kept_sha256"), *kept)
+    # a text that another document repeats has all its passages there
+    told = F.coalesce(F.when(F.coalesce("__copied", F.lit(False)), F.col("n_strings")).otherwise(F.col("n_shared")), F.lit(0)).cast("long")
+    return out.select(F.col("__id").alias(key), "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "__sha").alias("kept_sha256"), told.alias("n_passages"), *kept)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

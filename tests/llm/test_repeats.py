@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("tessera.llm")
-from tessera.llm.repeats import covered, op10_repeats, remove_repeats, repeated_starts, runs, window_minima
+from tessera.llm.repeats import covered, op10_repeats, passage_strings, remove_repeats, repeated_starts, runs, window_minima
 
 
 def brute(rows, length):
@@ -76,7 +76,7 @@ def test_against_all_windows(spark, hot):
     texts = made_up(random.Random(5), alphabet="ab é")
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (0, texts[0])], "doc_id long, text string")
     rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
-    got = sorted(map(tuple, remove_repeats(df, length=20, gram=6, hot=hot).collect()), key=str)
+    got = sorted(map(tuple, remove_repeats(df, length=20, gram=6, hot=hot).drop("n_passages").collect()), key=str)
     assert got == brute(rows, 20)
     for r in remove_repeats(df, length=20, gram=6, hot=hot, with_text=True).collect():
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
@@ -84,8 +84,49 @@ def test_against_all_windows(spark, hot):
 
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text.encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert sorted(map(tuple, op10_repeats(spark, sf_dir).collect()), key=str) == brute(rows, 400)
+    assert sorted(map(tuple, op10_repeats(spark, sf_dir).drop("n_passages").collect()), key=str) == brute(rows, 400)
+
+
+def plain_strings(text, words=24, passage=51):
+    """The passage strings as tuples, by the hash that the operator orders them by."""
+    w = text.split()
+    one = {}
+    for i in range(len(w) - words + 1):
+        owner, h = passage_strings([" ".join(w[i : i + words]).encode()], words, words)
+        one[i] = int(h[0])
+    return {min(one[i] for i in range(a, a + passage - words + 1)) for a in range(len(w) - passage + 1)}
+
+
+def test_passage_strings():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (0, 5, 50, 51, 80, 300)] + ["é \n x" * 60]
+    owner, h = passage_strings([t.encode() for t in texts])
+    got = {}
+    for o, x in zip(owner.tolist(), h.tolist(), strict=True):
+        got.setdefault(o, set()).add(x)
+    assert got == {i: s for i, t in enumerate(texts) if (s := plain_strings(t))}
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Shorter than 400 bytes, so nothing is removed, but each document that holds one is told; others aren't."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    passages = [" ".join(word() for _ in range(rnd.randint(51, 60))) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        own = [word() for _ in range(rnd.randint(30, 200))]
+        at = rnd.randrange(len(own))
+        rows.append((i, " ".join(own[:at] + ([passages[i % 5]] if i < 40 else []) + own[at:])))
+    rows += [(200, rows[100][1]), (201, " ".join(rows[101][1].split()[:23]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeats(df).collect()}
+    long = {k for k, t in rows if len(t.split()) > 50}
+    assert {k for k, r in got.items() if r.n_passages > 0} == {*range(40), *({100, 200} & long)}
+    assert all(r.n_removed == 0 for k, r in got.items() if k not in (100, 200))
 
 
 def test_empty(spark):
-    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert remove_repeats(df).count() == 0
+    clash = spark.createDataFrame([(1, "a" * 500, "x", 5), (2, "a" * 450, None, 6)], "doc_id long, text string, digest string, n int")
+    assert {r.doc_id: r.n_removed for r in remove_repeats(clash).collect()} == {1: 500, 2: 450}
