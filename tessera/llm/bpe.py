@@ -163,8 +163,8 @@ class TrieBpe:
             self.ends[after] = tuple((self.ids[at[i:]], len(at) - i) for i in range(len(at)) if at[i:] in self.ids)
         return after
 
-    def encode_words(self, words: list[str]) -> None:
-        """Put the encodings of distinct pre-tokens into ``words``: depth first over their trie."""
+    def encode_words(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Put the encodings of distinct pre-tokens into ``into``: depth first over their trie."""
         bytes_of, pairs, follows, step, ends, advance = self.bytes_of, self.pairs, self.follows, self.step, self.ends, self.advance
         pack, before = struct.pack, b""
         path: list[int] = [-1]  # last token of each prefix of the word before
@@ -193,14 +193,17 @@ class TrieBpe:
                 out.append(path[end])
                 end -= len(bytes_of[path[end]])
             out.reverse()
-            self.words[text] = pack(f"<{len(out)}I", *out)
+            into[text] = pack(f"<{len(out)}I", *out)
             before = word
 
     def encode_chunks(self, chunks: list[str]) -> None:
         """Encode the given pieces of text, each apart from its neighbours, into ``chunks``."""
-        split = {c: self.pretoken.findall(c) for c in chunks}
+        # letters alone, with a space before them or not, are one pre-token
+        whole = [c for c in chunks if c.isalpha() or (c[0] == " " and c[1:].isalpha())]
+        self.encode_words(whole, self.chunks)
+        split = {c: self.pretoken.findall(c) for c in set(chunks).difference(whole)}
         words = self.words
-        self.encode_words(_fresh({w for ws in split.values() for w in ws if w not in words}, words, self.words_before))
+        self.encode_words(_fresh({w for ws in split.values() for w in ws if w not in words}, words, self.words_before), words)
         for c, ws in split.items():
             self.chunks[c] = b"".join([words[w] for w in ws])
 
@@ -216,7 +219,7 @@ class TrieBpe:
         layout: list[list[int]] = []  # of each text: the stretches, and special tokens as -1 - id
         for text in texts:
             row, at = [], 0
-            for m in self.special_at.finditer(text) if self.special_at else ():
+            for m in self.special_at.finditer(text) if any(x in text for x in self.special) else ():
                 row += [len(plain), -1 - self.special[m.group()]]
                 plain.append(pieces(text[at : m.start()]))
                 at = m.end()
