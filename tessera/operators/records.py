@@ -120,3 +120,24 @@ def first_failing(checks: Sequence[tuple[str, Column]]) -> Column:
     for name, cond in reversed(checks):
         out = F.when(F.coalesce(cond, F.lit(False)), F.lit(name)).otherwise(out)
     return out
+
+
+def delete_receipts(rows: DataFrame, gone: DataFrame, owner: str, key: str) -> DataFrame:
+    """owner, before, after, deleted, residual, digest_before and digest_after: what a deletion of the ids ``gone`` does to each owner's rows.
+
+    Digests are over the sorted digests of ids, so that a receipt can be checked against the rows that are left.
+    """
+    marked = rows.join(gone.select(F.col(key).alias("__gone")).distinct(), F.col(key) == F.col("__gone"), "left").withColumn("__h", F.sha2(F.col(key).cast("string").cast("binary"), 256))
+    kept = F.col("__gone").isNull()
+    over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
+    out = marked.groupBy(owner).agg(F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after"), F.count("__gone").alias("deleted"), over("__h").alias("digest_before"), over(F.when(kept, F.col("__h"))).alias("digest_after"))
+    return out.withColumn("residual", F.col("before") - F.col("after") - F.col("deleted"))
+
+
+def lineage(**objects: tuple[DataFrame, str, str]) -> DataFrame:
+    """kind, object_id and sources (distinct, in order) of each object of tables (rows, object, source)."""
+    out = None
+    for kind, (df, object_, source) in objects.items():
+        rows = df.groupBy(F.col(object_).cast("string").alias("object_id")).agg(F.array_sort(F.collect_set(F.col(source).cast("long"))).alias("sources")).select(F.lit(kind).alias("kind"), "object_id", "sources")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -70,9 +70,9 @@ def running_sum(df: DataFrame, order: Sequence[Column | str], value: str, name:
     """``df`` plus the sum of ``value`` over all rows before, in an order that tells rows apart; ranges are summed first, as in ``positioned``."""
     ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sums = ranged.groupBy("__p").agg(F.sum(value).alias("__s"))
-    before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))
+    before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__base"))
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order)) - F.col(value)
-    return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__inside")).drop("__p", "__inside", "__before")
+    return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__base") + F.col("__inside")).drop("__p", "__inside", "__base")
 
 
 def overlap(df: DataFrame, value: str, part: str) -> DataFrame:
@@ -98,3 +98,33 @@ def manifest_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     lines = df.select(F.sha2(line.cast("binary"), 256).alias("h"))
     buckets = lines.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return buckets.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x["b"], x["d"])), "\n").cast("binary"), 256).alias("digest"))
+
+
+def content_grouped_split(df: DataFrame, content: str, label: str, shares: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:
+    """``df`` plus split: rows of equal content stay together, and each label's rows near the splits' shares.
+
+    Contents are ordered by size, the big ones first, then by hash; each goes where its place in its label's running row count falls.  That
+    place comes from range-partitioned running sums, so no driver or task holds all contents.  A content with several labels
+    goes by its least one.
+    """
+    groups = df.groupBy(content).agg(F.min(label).alias("__label"), F.count(F.lit(1)).alias("__n"))
+    ordered = running_sum(groups.withColumn("__u", hash_unit(content, seed)), ["__label", F.desc("__n"), "__u", content], "__n", "__before")
+    per = groups.groupBy("__label").agg(F.sum("__n").alias("__all"))
+    first = ordered.groupBy("__label").agg(F.min("__before").alias("__first"))
+    sums = per.join(first, "__label")  # a row a label
+    at = (F.col("__before") - F.col("__first") + F.col("__n") / 2) / F.col("__all")
+    placed, upto = F.lit(shares[-1][0]), 1.0
+    for name, share_ in reversed(shares[:-1]):
+        upto = sum(s for n, s in shares[: [x for x, _ in shares].index(name) + 1])
+        placed = F.when(at < upto, F.lit(name)).otherwise(placed)
+    split = ordered.join(sums, "__label").select(F.col(content).alias("__c"), placed.alias("split"))
+    return df.join(split, F.col(content).eqNullSafe(F.col("__c"))).drop("__c")
+
+
+def evenly_spaced(df: DataFrame, order: Sequence[Column | str], count: int) -> DataFrame:
+    """``count`` rows at the places index * n // count of the order; all rows if there are no more."""
+    placed = positioned(df, order)
+    n, k = F.col("__all"), F.col("__position")
+    # the first index whose place is k, if any
+    index = F.ceil(k * count / n)
+    return placed.where((n <= count) | ((index < count) & (F.floor(index * n / count) == k))).drop("__position", "__all")
