@@ -53,7 +53,7 @@ BATCH = 1 << 16
 #: Words of the strings that tell passages, and of the shortest passage that is sure to hold one.
 WORDS, PASSAGE = 24, 51
 #: Parts into which the rows of one key are dealt when a count is joined back.
-SALTS = 8
+SALTS = 4
 NONE = 255  # no symbol; never a byte of UTF-8
 
 
@@ -241,6 +241,11 @@ def _sorted_groups(length: int):
             for (seg, who), starts in zip(group.items(), shared_windows(list(group), length), strict=True):
                 for a, b in _as_ranges(starts):
                     shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
+            if len(shared) == 1 and all(len(who) > 1 for who in shared.values()):
+                # one string that several hold, and nothing else to match: equality says all
+                (seg, who), *_ = shared.items()
+                out.extend((digest, first, first + len(seg) - length) for digest, first in who)
+                return 0
             if shared:
                 held.append(shared)
             return sum(map(len, shared))
@@ -292,11 +297,14 @@ def shared_passages(rows: DataFrame) -> DataFrame:
             fresh = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not (t in seen or seen.add(t))]
             owner, strings = passage_strings([x for _, x in fresh])
             names = np.array([t for t, _ in fresh], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(strings.view(np.int64)), pa.array(names[owner])], names=["string", "__t"])
+            # one row more, named like its text, tells how often the text was cut
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([strings.view(np.int64), names])), pa.array(np.concatenate([names[owner], names]))], names=["string", "__t"])
 
-    found = stored(map_batches(rows.select(F.xxhash64("digest").alias("__t"), "__text"), run, "string bigint, __t bigint").distinct())
+    found = stored(map_batches(rows.select(F.xxhash64("digest").alias("__t"), "__text"), run, "string bigint, __t bigint"))
     shared = found.groupBy("string").agg(F.min("__t").alias("lo"), F.max("__t").alias("hi")).where("lo <> hi").select("string", F.lit(1).alias("shared"))
-    out = cut(with_count(found, shared, "string", F.col("__t"), "left").groupBy("__t").agg(F.count(F.lit(1)).alias("n_strings"), F.count("shared").alias("n_shared")))
+    own = F.col("string") == F.col("__t")
+    every = with_count(found, shared, "string", F.col("__t"), "left").groupBy("__t").agg(F.count_if(own).alias("cuts"), F.count_if(~own).alias("n"), F.count_if(~own & F.col("shared").isNotNull()).alias("s"))
+    out = cut(every.select("__t", F.floor(F.col("n") / F.col("cuts")).alias("n_strings"), F.floor(F.col("s") / F.col("cuts")).alias("n_shared")))
     discard(found)
     return out
 
@@ -317,9 +325,10 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 at += len(part)
 
     long_rows = rows.where(F.length("__text") >= length)
-    placed = map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").dropDuplicates(["mini", "digest", "a"])
+    placed = stored(map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").dropDuplicates(["mini", "digest", "a"]))
     times = placed.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     wanted = cut(with_count(placed, times, "mini", F.struct("digest", "a"), "inner"))
+    discard(placed)
     by_text = wanted.groupBy("digest").agg(F.collect_list(F.struct("mini", "a", "b", (F.col("times") > hot).alias("hot"))).alias("runs"))
     once = long_rows.groupBy("digest").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).alias("n"))
     texts = stored(once.join(by_text, "digest", "left").where("runs IS NOT NULL OR n > 1").select("digest", "n", "__text", "runs"))
