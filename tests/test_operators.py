@@ -122,9 +122,40 @@ def test_chunks_and_topics(spark):
     rows = [(1, i, "user", "x" * n) for i, n in enumerate([300, 300, 300, 900, 10, 10])]
     df = spark.createDataFrame(rows, "c long, t long, role string, text string")
     assert [r.chunk_no for r in packing.chunk_groups(df, "c", "t", "role", "text").orderBy("t").collect()] == [0, 0, 1, 2, 3, 3]
-    said = spark.createDataFrame([(1, 1, "dinner tonight"), (1, 2, "project code"), (1, 3, "dinner later")], "c long, t long, text string")
-    got = packing.assign_topics(said, "c", "t", "text", {"food": ("dinner",), "work": ("project",)})
-    assert [r.topic_no for r in got.orderBy("t").collect()] == [0, 1, 0]
+    said = [("dinner tonight", {1}, set()), ("project code", {2}, set()), ("dinner later", {3}, set()), ("yes", {4}, set()), ("sure", {5}, {2}), ("dinner and project", {6}, set())]
+    got = packing.topics_of(said, {"food": ("dinner",), "work": ("project",)})
+    assert got == [(0, "food"), (1, "work"), (0, "food"), (0, "food"), (1, "work"), (2, "unresolved")]
+
+
+def test_turns_by_topic():
+    words = {"food": ("dinner",), "work": ("project",)}
+    m = [("a", 1, 0.0, "text", "dinner"), ("a", 1, 100.0, "text", "ok"), ("a", 1, 150.0, "text", "project"), ("a", 1, 300.0, "text", "x"), ("b", 1, 301.0, "text", "x"), ("b", 2, 302.0, "text", "x"), ("b", 2, 303.0, "call", "x"), ("b", 2, 304.0, "text", "x")]
+    assert packing.merged_turns(m, words) == [0, 0, 1, 2, 3, 4, 5, 6]
+
+
+def test_token_chunks():
+    assert packing.token_chunks([], 5, 20, 2) == []
+    assert packing.token_chunks([4, 4, 4, 4, 30, 4], 5, 20, 2) == [(0, 3, 0), (1, 4, 2), (4, 5, 0), (5, 6, 0)]
+    chunks = packing.token_chunks([3] * 10, 2, 14, 1)
+    assert chunks == [(0, 4, 0), (3, 7, 1), (6, 10, 1)]
+    assert sorted({i for a, b, c in chunks for i in range(a + c, b)}) == list(range(10))
+
+
+def test_fitting_and_exchanges():
+    assert packing.fitted([(-2, (0,), 5), (1, (1,), 8), (-1, (2,), 4), (2, (3,), 1)], 10) == [0, 2, 3]
+    roles = ["user", "assistant", "assistant", "user", "assistant", "user"]
+    refs = [[], [], [], [], [0], []]
+    assert packing.closure(roles, refs, {2}) == {0, 1, 2} and packing.closure(roles, refs, {4}) == {0, 3, 4} and packing.closure(roles, refs, {5}) == {5}
+    assert packing.closure(["assistant", "user"], [[], []], {0}) is None and packing.closure(["assistant", "assistant"], [[], []], {1}, opening=True) == {0, 1}
+    assert packing.closure(["user", "user"], [[1], []], {0}) is None
+    assert packing.selected_turns(roles, refs, [0] * 6, [10, 1, 1, 1, 1, 1], 6, 10) == [3, 5]
+    assert packing.selected_turns(roles, refs, [0] * 6, [1] * 6, 100, 10) == [0, 1, 2, 3, 4, 5]
+    assert packing.selected_turns(roles, refs, [0] * 6, [1] * 6, 0, 10) is None
+
+
+def test_mask_spans(spark):
+    df = spark.createDataFrame([([0, 1, 1, 0, 1],), ([],), ([1, 1],)], "m array<int>").select(packing.mask_spans(F.col("m")).alias("s"))
+    assert [[tuple(x) for x in r.s] for r in df.collect()] == [[(1, 3), (4, 5)], [], [(0, 2)]]
 
 
 def test_dates(spark):
@@ -149,8 +180,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"timestamp": "t", "speaker": "s", "text": "x"}\n{"timestamp": "u", "speaker": "s", "text": "y"}\n')
     (tmp_path / "n.json").write_text('[{"createTime": 1, "senderUsername": "s", "isSent": true, "renderType": "k", "content": ""}]')
     assert [chat.json_messages(spark, str(tmp_path / f)).count() for f in ("o.json", "l.json", "n.json")] == [1, 2, 1]
+    every = chat.json_messages(spark, [str(tmp_path / f) for f in ("o.json", "l.json", "n.json")]).collect()
+    assert sorted((r.path[-6:], r.record_index, r.timestamp) for r in every) == [("l.json", 0, "t"), ("l.json", 1, "u"), ("n.json", 0, "1"), ("o.json", 0, "t")]
+    with pytest.raises(chat.BadExport, match="line 4"):
+        chat.txt_messages(spark, str(tmp_path / "a.txt"))
     pages = spark.createDataFrame([(1, '<div data-timestamp="t" data-speaker="s">he<b>l</b>lo</div><p>x</p>'), (2, None)], "id long, html string")
-    assert [tuple(r) for r in chat.html_messages(pages, "id", "html").collect()] == [(1, 0, "t", "s", "hello")]
+    assert [tuple(r) for r in chat.html_messages(pages, "id", "html").collect()] == [(1, 0, "t", "s", "hello", "text")]
+    page = """<DIV timestamp='1' speaker="A &amp; B" data-kind=call>x &lt; y<br>z</DIV><p>no</p><li data-timestamp="2">a<div data-timestamp="3">b</div> c</li>"""
+    assert chat.messages_in(page) == [("1", "A & B", "x < yz", "call"), ("3", "", "b", "text")]
     times = spark.createDataFrame([("1756692000",), ("1756692000000",), ("2025-09-01T02:00:00Z",), ("2025-09-01 10:00",), ("soon",)], "t string")
     got = [r.x for r in times.select(F.date_format(chat.parsed_timestamp("t"), "yyyy-MM-dd HH:mm").alias("x")).collect()]
     assert got == ["2025-09-01 02:00"] * 4 + [None]
