@@ -4,8 +4,8 @@ A token's probability is P(class | context) * P(token | class).  Classes come fr
 token's spelling (its first two bytes and the kind of its last one), so they exist for
 unseen words too; the most frequent spellings get a class each, the rest share one,
 and the end of a text is a class of its own.  The class factor is a softmax over weights
-of hashed features of the context: the word before, its class pairs and triples, and
-skips over one word.  The word factor is the class's own add-half estimate
+of hashed features of the context: the word before, the two words before, the word before those by a skip,
+and pairs and triples of classes, with a skip too.  The word factor is the class's own add-half estimate
 (c + 0.5) / (N_class + 0.5 * (V_class + 1)), one slot being for unseen words.
 
 Training: ``TRAINERS`` tasks at most go over their part of the training texts in
@@ -13,10 +13,8 @@ mini-batches of numpy arrays and update rows of sparse features (AdaGrad by row)
 after each round rows are averaged by how often each task met them.  Every training text is
 used, in one of ``ROUNDS`` rounds.  Weights are a table of fixed size (``ROWS`` x ``CLASSES``).
 
-Counts: words are counted inside tasks and summed by key.  Words that make up at
-least one in ``FREQUENT`` of all tokens are sent to all tasks (there can't be more
-than ``FREQUENT`` of them, each of 64 bytes at most); all others are joined by word,
-so neither a frequent word nor the size of the vocabulary bounds the corpus.
+Counts: words are counted inside tasks and summed by key.  The most frequent words, ``FREQUENT`` at most, each of 64 bytes at
+most, are sent to all tasks; all others are joined by word, so neither a frequent word nor the size of the vocabulary bounds the corpus.
 
 Defined results: null and empty texts consist of the end alone; A-Z are lower-cased,
 nothing else; null ids belong to the training part; repeated rows are counted and scored each;
@@ -38,9 +36,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, fold_of, map_batches, table
 from tessera.llm.hashing import _SPACE, INVERSE, U, _chunks, mixed, powers, prefix_hash
 
-CLASSES, ROWS, ROUNDS, TRAINERS = 32, 1 << 15, 2, 256
-#: A word is frequent from a share of 1 / FREQUENT of all tokens.
-FREQUENT = 300_000
+CLASSES, ROWS, ROUNDS, TRAINERS = 32, 1 << 16, 2, 256
+#: Words that are sent to all tasks, the most frequent ones, at most.
+FREQUENT = 200_000
 #: The end of a text; no word contains white space.
 END = b"\n"
 #: Tokens of one gradient step; rows of one block of the weights that are averaged together.
@@ -88,19 +86,20 @@ class Tokens:
         self.text = np.repeat(np.arange(len(texts)), n + 1)
 
     def features(self, a: int, b: int) -> np.ndarray:
-        """Rows of the weights for tokens a to b: bias, word before, word two before, class pair, skip pair, class triple."""
+        """Rows of the weights for tokens a to b: bias, word before, word two before, both words, class pair, skip pair, class triple."""
         i = self.at[a:b]
         c1, c2, c3 = (self.cls[i - k].astype(U) for k in (1, 2, 3))
         m = U(CLASSES)
-        parts = (self.hash[i - 1] + U(11), self.hash[i - 2] + U(22), c1 * m + c2 + (U(1) << U(40)), c2 * m + c3 + (U(2) << U(40)), (c1 * m + c2) * m + c3 + (U(3) << U(40)))
+        w1, w2 = self.hash[i - 1], self.hash[i - 2]
+        parts = (w1 + U(11), w2 + U(22), w1 * U(0xD1342543DE82EF95) + w2 + U(33), c1 * m + c2 + (U(1) << U(40)), c2 * m + c3 + (U(2) << U(40)), (c1 * m + c2) * m + c3 + (U(3) << U(40)))
         return np.stack([np.zeros(len(i), np.int64), *((1 + mixed(p) % U(ROWS - 1)).astype(np.int64) for p in parts)], axis=1)
 
 
 def class_logs(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Natural logs of P(class | context), a row for each row of features."""
-    z = weights[features[:, 0]]
+    z = weights.take(features[:, 0], axis=0, mode="clip")
     for j in range(1, features.shape[1]):
-        z = z + weights[features[:, j]]
+        z += weights.take(features[:, j], axis=0, mode="clip")
     z -= z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
@@ -108,20 +107,20 @@ def class_logs(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 def train_step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, features: np.ndarray, target: np.ndarray, rate: float = 0.15) -> None:
     """One gradient step on the rows that the features name, in place; column 0 is the bias, row 0."""
     n, m = features.shape
-    g = weights[features[:, 1]]
+    g = weights.take(features[:, 1], axis=0, mode="clip")
     for j in range(2, m):
-        g += weights[features[:, j]]
+        g += weights.take(features[:, j], axis=0, mode="clip")
     g += weights[0]
     g -= g.max(axis=1, keepdims=True)
     np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(n), target] -= 1
     # all columns' updates at once: rows of different columns differ but for chance
-    flat = features[:, 1:].ravel()
+    flat = features[:, 1:].astype(np.uint16).ravel()  # ROWS numbers; 16 bits are sorted by counting
     order = np.argsort(flat, kind="stable")
-    rows = flat[order]
+    rows = flat[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    step = np.add.reduceat(g[order // (m - 1)], first, axis=0)
+    step = np.add.reduceat(g.take(order // (m - 1), axis=0, mode="clip"), first, axis=0)
     rows, count = rows[first], np.diff(np.append(first, len(rows)))
     squares[rows] += np.einsum("ij,ij->i", step, step) / CLASSES
     met[rows] += count
@@ -141,7 +140,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             counts.update(text.lower().split())
-        counts[END] += batch.num_rows
+        if batch.num_rows:
+            counts[END] += batch.num_rows
         if len(counts) > 400_000:
             yield out()
             counts.clear()
@@ -181,6 +181,17 @@ def class_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return classes, tokens, np.log10(tokens + 0.5 * (kinds + 1))
 
 
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The least count from which words are no more than ``most``, by steps of a sixteenth of a power of two."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    found = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 16 x 63 rows at most
+    words, at = 0, max(found, default=0) + 1
+    while at > 0 and words + found.get(at - 1, 0) <= most:
+        at -= 1
+        words += found.get(at, 0)
+    return math.ceil(2 ** (at / 16))
+
+
 def train(df: DataFrame, classes: np.ndarray, tokens: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights learned from the binary texts of ``df`` (columns __text, __part: the round that uses it), from the classes' shares of ``tokens`` on."""
     weights = np.zeros((ROWS, CLASSES), np.float32)
@@ -227,7 +238,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_i
     n, v = int(total["n"] or 0), int(total["v"])
     classes, class_tokens, class_mass = class_table(counts)
     weights = train(known.select("__text", F.pmod(F.xxhash64("__text"), F.lit(ROUNDS)).alias("__part")), classes, class_tokens)
-    least = max(1, -(-n // FREQUENT))
+    least = frequent_from(counts, FREQUENT)
     # FREQUENT words of 64 bytes at most.
     frequent = {bytes(r["word"]): math.log10(r["c"] + 0.5) for r in counts.where((F.col("c") >= least) & (F.length("word") <= 64)).collect()}
     unseen = math.log10(0.5)
