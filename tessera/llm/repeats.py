@@ -54,6 +54,8 @@ BATCH = 1 << 16
 WORDS, PASSAGE = 24, 51
 #: Parts into which the rows of one key are dealt when a count is joined back.
 SALTS = 4
+#: Bytes of segments that are trimmed together, about.
+TRIM = 1 << 20
 NONE = 255  # no symbol; never a byte of UTF-8
 
 
@@ -170,16 +172,19 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     return np.split(start, np.searchsorted(seg, np.arange(1, m)))
 
 
-def shared_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment the starts of windows whose hash is met more than once in the segments: all that can be repeated."""
+def shared_windows(segments: list[bytes], length: int, group: np.ndarray) -> list[np.ndarray]:
+    """For each segment the starts of windows whose hash is met more than once in the segments of its group: all that can be repeated."""
     sizes = np.array([len(x) for x in segments])
     ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(segments)), sizes)
     hashes = window_hashes(np.frombuffer(b"".join(segments), np.uint8), length)
-    owner = np.repeat(np.arange(len(segments)), sizes)[: len(hashes)]
-    at = np.arange(len(hashes))
-    at = at[at + length <= ends[owner]]
-    _, inverse, counts = np.unique(hashes[at], return_inverse=True, return_counts=True)
-    at = at[counts[inverse] > 1]
+    at = np.flatnonzero(np.arange(len(hashes)) + length <= ends[owner[: len(hashes)]])
+    keys = hashes[at] ^ mixed(group.astype(U))[owner[at]]
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    met = np.zeros(len(at), bool)
+    met[order[1:][same]] = met[order[:-1][same]] = True
+    at = at[met]
     return np.split(at - (ends - sizes)[owner[at]], np.searchsorted(at, ends[:-1]))
 
 
@@ -213,8 +218,8 @@ def _sorted_groups(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, int]] = []
-        held: list[dict[bytes, list[tuple[bytes, int]]]] = []  # groups by segment
-        size = 0
+        closed: list[dict[bytes, list[tuple[bytes, int]]]] = []  # groups by segment, to be trimmed
+        held: list[dict[bytes, list[tuple[bytes, int]]]] = []  # trimmed ones, to be sorted
 
         def emit() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int32()))], names=["digest", "a", "b"])
@@ -229,35 +234,46 @@ def _sorted_groups(length: int):
                 out.extend((digest, first + a, first + b) for digest, first in who for a, b in ranges)
             held.clear()
 
+        def trim() -> None:
+            """Windows whose hash is met once in their group are unique; what is left of segments is often the same string again, which is sorted once."""
+            segments = [seg for g in closed for seg in g]
+            starts = iter(shared_windows(segments, length, np.repeat(np.arange(len(closed)), [len(g) for g in closed])) if segments else ())
+            size = 0
+            for group in closed:
+                shared: dict[bytes, list[tuple[bytes, int]]] = {}
+                for seg, who in group.items():
+                    for a, b in _as_ranges(next(starts)):
+                        shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
+                if len(shared) == 1 and all(len(who) > 1 for who in shared.values()):
+                    # one string that several hold, and nothing else to match: equality says all
+                    (seg, who), *_ = shared.items()
+                    out.extend((digest, first, first + len(seg) - length) for digest, first in who)
+                elif shared:
+                    held.append(shared)
+                    size += sum(map(len, shared))
+                    if size >= BATCH:
+                        flush()
+                        size = 0
+            closed.clear()
+            flush()
+
         def close(group: dict[bytes, list[tuple[bytes, int]]]) -> int:
             for seg, who in group.items():
                 if len(who) > 1:  # a segment that stands several times: all its windows are repeated
                     out.extend((digest, first, first + len(seg) - length) for digest, first in who)
-            if len(group) == 1:
-                return 0
-            # Windows whose hash is met once in the group are unique; what is left of segments is often the same
-            # string again, which is sorted once.
-            shared: dict[bytes, list[tuple[bytes, int]]] = {}
-            for (seg, who), starts in zip(group.items(), shared_windows(list(group), length), strict=True):
-                for a, b in _as_ranges(starts):
-                    shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
-            if len(shared) == 1 and all(len(who) > 1 for who in shared.values()):
-                # one string that several hold, and nothing else to match: equality says all
-                (seg, who), *_ = shared.items()
-                out.extend((digest, first, first + len(seg) - length) for digest, first in who)
+            if len(group) == 1 and len(next(iter(group.values()))) > 1:
                 return 0
-            if shared:
-                held.append(shared)
-            return sum(map(len, shared))
+            closed.append(group)
+            return sum(map(len, group))
 
-        mini, group = None, {}
+        mini, group, size = None, {}, 0
         for batch in batches:
             for now, digest, first, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != mini and group:
                     size += close(group)
                     group = {}
-                    if size >= BATCH:
-                        flush()
+                    if size >= TRIM:
+                        trim()
                         size = 0
                     if len(out) > 20_000:
                         yield emit()
@@ -265,7 +281,7 @@ def _sorted_groups(length: int):
                 group.setdefault(seg, []).append((digest, first))
         if group:
             close(group)
-        flush()
+        trim()
         yield emit()
 
     return run
