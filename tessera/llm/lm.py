@@ -88,11 +88,42 @@ class Tokens:
     def features(self, a: int, b: int) -> np.ndarray:
         """Rows of the weights for tokens a to b: bias, word before, word two before, both words, class pair, skip pair, class triple."""
         i = self.at[a:b]
-        c1, c2, c3 = (self.cls[i - k].astype(U) for k in (1, 2, 3))
-        m = U(CLASSES)
+        return np.stack([np.zeros(len(i), np.int64), *self.word_rows(i), *class_rows(*(self.cls[i - k].astype(U) for k in (1, 2, 3)))], axis=1)
+
+    def word_rows(self, i: np.ndarray) -> list[np.ndarray]:
+        """Rows of the word before, the word two before, and both, for the tokens at the places ``i``."""
         w1, w2 = self.hash[i - 1], self.hash[i - 2]
-        parts = (w1 + U(11), w2 + U(22), w1 * U(0xD1342543DE82EF95) + w2 + U(33), c1 * m + c2 + (U(1) << U(40)), c2 * m + c3 + (U(2) << U(40)), (c1 * m + c2) * m + c3 + (U(3) << U(40)))
-        return np.stack([np.zeros(len(i), np.int64), *((1 + mixed(p) % U(ROWS - 1)).astype(np.int64) for p in parts)], axis=1)
+        return [_row(p) for p in (w1 + U(11), w2 + U(22), w1 * U(0xD1342543DE82EF95) + w2 + U(33))]
+
+    def own_logs(self, weights: np.ndarray, contexts: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Natural logs of P(own class | context) for tokens a to b; ``contexts`` is ``context_table`` of the weights."""
+        i = self.at[a:b]
+        z = contexts.take((self.cls[i - 1] * CLASSES + self.cls[i - 2]) * CLASSES + self.cls[i - 3], axis=0, mode="clip")
+        for rows in self.word_rows(i):
+            z += weights.take(rows, axis=0, mode="clip")
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(i)), self.cls[i]]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _row(p: np.ndarray) -> np.ndarray:
+    return (1 + mixed(p) % U(ROWS - 1)).astype(np.int64)
+
+
+def class_rows(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray) -> list[np.ndarray]:
+    """Rows of the class pair, skip pair and class triple before a token."""
+    m = U(CLASSES)
+    return [_row(p) for p in (c1 * m + c2 + (U(1) << U(40)), c2 * m + c3 + (U(2) << U(40)), (c1 * m + c2) * m + c3 + (U(3) << U(40)))]
+
+
+def context_table(weights: np.ndarray) -> np.ndarray:
+    """What bias and class features add up to, for each triple of classes."""
+    c = np.arange(CLASSES**3).astype(U)
+    m = U(CLASSES)
+    out = np.repeat(weights[:1], len(c), axis=0)
+    for rows in class_rows(c // (m * m), c // m % m, c % m):
+        out += weights.take(rows, axis=0)
+    return out
 
 
 def class_logs(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -246,7 +277,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, class_mass, weights, frequent = shared.value
-        find = frequent.get
+        find, contexts = frequent.get, context_table(weights)
         for batch in batches:
             texts = [t.lower() for t in batch.column(3).to_pylist()]
             tokens, model = np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -255,8 +286,7 @@ def score(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_i
                 t = Tokens(part, classes)
                 logs = np.empty(len(t.at))
                 for a in range(0, len(t.at), STEP):
-                    own = t.cls[t.at[a : a + STEP]]
-                    logs[a : a + STEP] = class_logs(weights, t.features(a, a + STEP))[np.arange(len(own)), own] / math.log(10) - class_mass[own]
+                    logs[a : a + STEP] = t.own_logs(weights, contexts, a, a + STEP) / math.log(10) - class_mass[t.cls[t.at[a : a + STEP]]]
                 here = slice(at, at + len(part))
                 tokens[here] = np.bincount(t.text, minlength=len(part))
                 model[here] = np.bincount(t.text, weights=logs, minlength=len(part))

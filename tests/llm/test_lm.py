@@ -59,3 +59,12 @@ def test_cases(spark):
     assert got == sorted((a, b, c, round(s, 6)) for a, b, c, s in base(rows))
     assert score(df.limit(0), F.lit(True)).count() == 0
     assert all(r.base_score == r.base_score for r in score(df, F.lit(True)).collect())
+
+
+def test_own_logs_by_table():
+    classes = np.random.default_rng(1).integers(1, CLASSES, SHAPES)
+    t = Tokens([b"a b c d e f g", b"", b"x y", b"a b c d e f g"], classes)
+    w = np.random.default_rng(2).standard_normal((lm.ROWS, CLASSES)).astype(np.float32)
+    own = t.cls[t.at]
+    want = class_logs(w, t.features(0, len(t.at)))[np.arange(len(own)), own]
+    assert np.allclose(t.own_logs(w, lm.context_table(w), 0, len(t.at)), want, atol=1e-4)
