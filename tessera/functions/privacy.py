@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
+from tessera.functions.text import normalized
 
 # Labels, patterns, placeholders and their order have to be these for equal results.
 SECRET_LABEL = r"(?:密码|口令|验证码|校验码|verification[ _-]?code|one[ _-]?time[ _-]?password|password|passcode|passwd|otp|pin|token|access[ _-]?key|secret|api[ _-]?key|private[ _-]?key)"
@@ -38,8 +39,8 @@ STEPS = (
 
 
 def with_redaction(df: DataFrame, text: str, entities: dict[str, str] | None = None) -> DataFrame:
-    """``df`` plus redacted and categories (sorted). Each step sees what the steps before it left; links keep their host; entities go longest first."""
-    out, hits = df.withColumn("__v", F.coalesce(text, F.lit(""))), []
+    """``df`` plus redacted and categories (sorted), from the normalised text. Each step sees what the steps before it left; links keep their host; entities go longest first."""
+    out, hits = df.withColumn("__v", normalized(text)), []
     for k, (name, category, put) in enumerate(STEPS):
         out = out.withColumn(f"__h{k}", F.when(F.col("__v").rlike(PATTERNS[name]), F.lit(category))).withColumn("__v", F.regexp_replace("__v", PATTERNS[name], put))
         hits.append(f"__h{k}")
@@ -55,24 +56,76 @@ def with_redaction(df: DataFrame, text: str, entities: dict[str, str] | None = N
     return out.withColumns({"redacted": value, "categories": F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))}).drop("__v", *hits)
 
 
+#: What a text has to hold, at least, for a pattern to match: a test that costs less than the pattern.
+_HINTS = {"email": "@", "mention": "@", "url": "http", "wxid": "wxid_", "ipv4": ".", "coordinate": "."}
+_NUMERIC = ("phone", "idcard", "bank")
+
+
 def scan(text: Column | str) -> dict[str, Column]:
-    """Counts by category and hard_leak_count, their sum; identity numbers aren't counted as bank numbers again."""
+    """Counts by category and hard_leak_count, their sum, of a text that is normalised already (``scanned``); identity numbers aren't counted as bank numbers again."""
     value = F.coalesce(col(text), F.lit(""))
-    counts = {f"raw_{n}_matches": F.regexp_count(F.regexp_replace(value, PATTERNS["idcard"], " ") if n == "bank" else value, F.lit(p)) for n, p in PATTERNS.items()}
-    total = sum(counts.values(), F.lit(0))
-    return counts | {"hard_leak_count": total}
+    low = F.lower(value)
+    digits = value.rlike(r"(?U)\d{11}")
+
+    def count(name: str, pattern: str) -> Column:
+        n = F.regexp_count(F.regexp_replace(value, PATTERNS["idcard"], " ") if name == "bank" else value, F.lit(pattern))
+        may = digits if name in _NUMERIC else F.contains(low, F.lit(_HINTS[name])) if name in _HINTS else None
+        return n if may is None else F.when(may, n).otherwise(F.lit(0))
+
+    counts = {f"raw_{n}_matches": count(n, p) for n, p in PATTERNS.items()}
+    return counts | {"hard_leak_count": sum(counts.values(), F.lit(0))}
+
+
+def scanned(df: DataFrame, text: str) -> DataFrame:
+    """``df`` plus the counts of ``scan`` over the normalised text, which is made once."""
+    counts = scan("__normal")
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    ready = df.withColumn("__normal", normalized(text))
+    named = ready.select(*keep, *[c.alias(n) for n, c in counts.items() if n != "hard_leak_count"])
+    return named.withColumn("hard_leak_count", sum((F.col(n) for n in counts if n != "hard_leak_count"), F.lit(0)))
+
+
+def secret_value(before: Column, now: Column) -> Column:
+    """The compact value, if the message before is but a label of a secret and this one the value; else null."""
+    label, value = F.trim(before), F.btrim(F.trim(now), F.lit("`'\"“”‘’，。；;:：,!?！？()[]{}"))
+    short = F.length(label) <= 8
+    role = F.lower(value).isin("self", "target", "user", "assistant", "system")
+    code = label.rlike("(?:验证码|校验码)$") & short & value.rlike("^[0-9]{4,12}$")
+    word = label.rlike("(?:密码|口令)$") & short & value.rlike("^[A-Za-z0-9_+/=.-]{4,}$") & ~role
+    other = label.rlike(rf"(?i)^{SECRET_LABEL}$") & ~label.rlike("^(?:密码|口令|验证码|校验码)$") & value.rlike("^[A-Za-z0-9_+/=]{4,}$") & ~role
+    given = ~before.rlike(PATTERNS["secret"])
+    return F.when(F.coalesce(given & (code | word | other), F.lit(False)), value)
+
+
+def adjacent_redacted(messages: Column) -> Column:
+    """Messages (structs of idx and content, in order) with values after a label of a secret replaced by ``<SECRET>``.
+
+    Only messages with following indices are adjacent; the one before counts as it stands after its own replacement.
+    """
+    nothing = F.filter(messages, lambda _: F.lit(False))
+
+    def step(done: Column, m: Column) -> Column:
+        last = F.element_at(done, -1)
+        value = F.when((F.size(done) > 0) & (m["idx"] == last["idx"] + 1), secret_value(last["content"], m["content"]))
+        # the value stands in the message just once as a stretch, so the first place is the place
+        put = F.when(value.isNull(), m["content"]).otherwise(F.concat(F.split_part(m["content"], value, F.lit(1)), F.lit("<SECRET>"), F.substr(m["content"], F.position(value, m["content"]) + F.length(value))))
+        return F.array_append(done, F.struct(m["idx"].alias("idx"), put.alias("content")))
+
+    return F.aggregate(messages, nothing, lambda done, m: F.when(F.size(done) == 0, F.array_append(done, m)).otherwise(step(done, m)))
+
+
+def adjacent_count(messages: Column) -> Column:
+    """How many adjacent pairs of the messages as they are make a credential."""
+    pairs = F.transform(messages, lambda m, i: F.named_struct(F.lit("a"), m, F.lit("b"), F.get(messages, i + 1)))
+    hit = lambda p: p["b"].isNotNull() & (p["b"]["idx"] == p["a"]["idx"] + 1) & secret_value(p["a"]["content"], p["b"]["content"]).isNotNull()
+    return F.size(F.filter(pairs, lambda p: F.coalesce(hit(p), F.lit(False))))
 
 
 def split_credentials(df: DataFrame, owner: str, index: str, text: str) -> DataFrame:
     """``df`` plus split_secret: the message before is but a label of a secret, and this one, next in the source, a compact value."""
     w = Window.partitionBy(owner).orderBy(index)
-    before, trimmed = F.trim(F.lag(text).over(w)), F.btrim(F.trim(text), F.lit("`'\"“”‘’，。；;:：,!?！？()[]{}"))
     adjacent = F.col(index) == F.lag(index).over(w) + 1
-    short = F.length(before) <= 8
-    code = before.rlike("(?:验证码|校验码)$") & short & trimmed.rlike("^[0-9]{4,12}$")
-    word = before.rlike("(?:密码|口令)$") & short & trimmed.rlike("^[A-Za-z0-9_+/=.-]{4,}$") & ~F.lower(trimmed).isin("self", "target", "user", "assistant", "system")
-    other = before.rlike(rf"(?i)^{SECRET_LABEL}$") & ~before.rlike("^(?:密码|口令|验证码|校验码)$") & trimmed.rlike("^[A-Za-z0-9_+/=]{4,}$") & ~F.lower(trimmed).isin("self", "target", "user", "assistant", "system")
-    return df.withColumn("split_secret", F.coalesce(adjacent & (code | word | other), F.lit(False)))
+    return df.withColumn("split_secret", F.coalesce(adjacent & secret_value(F.lag(text).over(w), F.col(text)).isNotNull(), F.lit(False)))
 
 
 def injection_guard(text: Column | str, markers: tuple[str, ...], targets: tuple[str, ...]) -> Column:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.columns import col
 
@@ -60,16 +61,31 @@ def token_shingles(c: Column | str, n: int = 3) -> Column:
     return F.array_distinct(windows(word_tokens(c), n))
 
 
+#: Characters that compatibility forms leave as they are, so that texts of them alone need no Python: ASCII, Latin letters with marks, common ideographs.
+_STABLE = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF\u00C0-\u0131\u4E00-\u9FFF"
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t and unicodedata.normalize("NFKC", t))
+
+
+def nfkc(c: Column | str) -> Column:
+    """Compatibility forms folded; only texts that hold a character which may change are handed to Python."""
+    value = col(c)
+    return F.coalesce(_nfkc(F.when(value.rlike(f"[^{_STABLE}]"), value)), value)
+
+
 def meaningful(c: Column | str) -> Column:
-    """ASCII letters, digits and CJK characters alone."""
-    return F.regexp_replace(col(c), rf"[^A-Za-z0-9{CJK}]", "")
+    """ASCII letters, digits and CJK characters alone, after ``nfkc``."""
+    return F.regexp_replace(nfkc(c), rf"[^A-Za-z0-9{CJK}]", "")
 
 
 def template(c: Column | str) -> Column:
-    """What is alike in texts that differ by numbers and signs: lower case, meaningful characters, digit runs dropped, one # at the end if there were any."""
-    low = F.lower(col(c))
-    body = F.regexp_replace(F.regexp_replace(low, r"\d", "#"), rf"[^a-z0-9{CJK}]", "")
-    return F.concat(body, F.when(low.rlike(r"\d"), F.lit("#")).otherwise(F.lit("")))
+    """What is alike in texts that differ by numbers and signs: ``nfkc``, lower case, meaningful characters, digit runs dropped, one # at the end if there were any digits or #."""
+    low = F.regexp_replace(F.lower(nfkc(c)), r"(?U)\d", "#")
+    body = F.regexp_replace(low, rf"[^a-z0-9{CJK}]", "")
+    return F.concat(body, F.when(F.contains(low, F.lit("#")), F.lit("#")).otherwise(F.lit("")))
 
 
 def last_match(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -82,19 +98,27 @@ def tags(c: Column | str, patterns: dict[str, str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(col(c).rlike(p), F.lit(n)) for n, p in patterns.items()])))
 
 
-def normalized(c: Column | str) -> Column:
-    """NFKC, newlines as \\n, control characters dropped, blanks squeezed, two newlines at most, trimmed; Unicode forms need Python."""
+@F.pandas_udf(T.StringType())
+def _normal(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = unicodedata.normalize("NFKC", t).replace("\r\n", "\n").replace("\r", "\n")
+        t = "".join(x for x in t if x in "\n\t" or unicodedata.category(x)[0] != "C")
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
-            t = unicodedata.normalize("NFKC", t or "").replace("\r\n", "\n").replace("\r", "\n")
-            t = "".join(x for x in t if x in "\n\t" or unicodedata.category(x)[0] != "C")
-            return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+    return texts.map(one)
 
-        return texts.map(one)
 
-    return run(col(c))
+def normalized(c: Column | str) -> Column:
+    """NFKC, newlines as \\n, control characters dropped, blanks squeezed, two newlines at most, trimmed; null as empty.
+
+    Texts of stable characters alone stay in expressions, the others are handed to Python.
+    """
+    value = F.coalesce(col(c), F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"[\x00-\x08\x0B-\x1F\x7F]", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.coalesce(_normal(F.when(value.rlike(f"[^{_STABLE}]"), value)), F.btrim(plain, F.lit(" \n\t")))
 
 
 def masked_text(c: Column | str, most: int | None = None) -> Column:

@@ -16,13 +16,13 @@ from tessera.plans.common import read
 
 @query("leak_counts")
 def leak_counts(spark, d):
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", *[c.alias(n) for n, c in privacy.scan("text").items()])
+    return privacy.scanned(read(spark, d, "documents", "doc_id", "text"), "text").drop("text")
 
 
 @query("leak_totals")
 def leak_totals(spark, d):
-    counts = privacy.scan("text")
-    return read(spark, d, "documents", "source", "text").select("source", *[c.alias(n) for n, c in counts.items()]).groupBy("source").agg(*[F.sum(n).alias(n) for n in counts])
+    counts = privacy.scanned(read(spark, d, "documents", "source", "text"), "text").drop("text")
+    return counts.groupBy("source").agg(*[F.sum(n).alias(n) for n in counts.columns if n != "source"])
 
 
 @query("redaction")
@@ -42,6 +42,41 @@ def split_credentials(spark, d):
     return privacy.split_credentials(c, "conv_id", "turn", "text").groupBy("conv_id").agg(F.count_if("split_secret").alias("n"))
 
 
+def _talk(spark, d):
+    """Conversations whose odd turns are labels of secrets and whose next turns are values, for ids divisible by 3; turns of 7 are left out of the export."""
+    c = read(spark, d, "conversations", "conv_id", "turn", "text").where("turn % 7 <> 6")
+    k, t = F.col("conv_id"), F.col("turn")
+    said = F.when((k % 3 == 0) & (t % 2 == 1), F.element_at(F.array(*map(F.lit, ("token", "密码", "password", "验证码"))), (k % 4 + 1).cast("int"))).when((k % 3 == 0) & (t % 4 == 2), F.concat(F.lit("abc"), 1000 + k)).when((k % 3 == 0) & (t % 4 == 0), F.lit(" 123456。"))
+    one = F.struct(t.cast("int").alias("idx"), F.coalesce(said, F.col("text"), F.lit("")).alias("content"))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+
+
+@query("adjacent_redaction")
+def adjacent_redaction(spark, d):
+    """Values after a label are replaced; how many, and the digest of what is left."""
+    r = _talk(spark, d).select("conv_id", "m", privacy.adjacent_redacted(F.col("m")).alias("r"))
+    marks = lambda c: F.aggregate(c, F.lit(0), lambda n, m: n + F.regexp_count(m["content"], F.lit("<SECRET>")))
+    joined = F.array_join(F.transform("r", lambda m: m["content"]), "\n")
+    return r.select("conv_id", (marks("r") - marks("m")).alias("replaced"), F.sha2(joined.cast("binary"), 256).alias("text_sha256"))
+
+
+@query("sequence_scan")
+def sequence_scan(spark, d):
+    """Counts of single messages and of pairs that make a credential."""
+    t = _talk(spark, d).select("conv_id", privacy.adjacent_count(F.col("m")).alias("cross_message"), F.explode("m").alias("x"))
+    each = privacy.scanned(t.select("conv_id", "cross_message", F.col("x.content").alias("text")), "text")
+    g = each.groupBy("conv_id").agg(F.max("cross_message").alias("cross_message"), F.sum("hard_leak_count").alias("atomic"))
+    return g.withColumn("hard_leak_count", F.col("cross_message") + F.col("atomic"))
+
+
+@query("session_scan")
+def session_scan(spark, d):
+    """The view with the source's indices and one without: of each category the greater count."""
+    public = F.transform("m", lambda m, i: F.struct(i.cast("int").alias("idx"), m["content"].alias("content")))
+    t = _talk(spark, d).select("conv_id", F.greatest(privacy.adjacent_count(F.col("m")), F.lit(0)).alias("boundary"), privacy.adjacent_count(public).alias("public"))
+    return t.withColumn("merged", F.greatest("boundary", "public"))
+
+
 @query("canary_scan", "SELECT lang AS split, count(*) AS n_rows, count(*) FILTER (regexp_matches(text, '(?i)(token|password|secret)\\s*[:=]')) AS n_hits FROM documents GROUP BY 1")
 def canary_scan(spark, d):
     return read(spark, d, "documents", "lang", "text").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("text").rlike(r"(?i)(token|password|secret)\s*[:=]")).alias("n_hits"))
@@ -58,7 +93,7 @@ def masked_texts(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.masked_text("text"), 256).alias("masked_sha256"))
 
 
-_TEMPLATE = "regexp_replace(regexp_replace(lower({0}), '[0-9]', '#', 'g'), '[^a-z0-9㐀-鿿]', '', 'g') || CASE WHEN regexp_matches(lower({0}), '[0-9]') THEN '#' ELSE '' END"
+_TEMPLATE = "regexp_replace(regexp_replace(lower({0}), '[0-9]', '#', 'g'), '[^a-z0-9㐀-鿿]', '', 'g') || CASE WHEN regexp_matches(lower({0}), '[0-9#]') THEN '#' ELSE '' END"
 
 
 @query("template_digest_counts", f"SELECT sha256({_TEMPLATE.format('text')}) AS template, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")

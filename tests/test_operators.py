@@ -49,7 +49,7 @@ def test_turns(spark):
 
 
 def test_redaction(spark):
-    text = "call 13812345678 or a.b@c.org password: hunter22 id 11010119900307123X card 6222021234567890 at 31.23041, 121.47371 ip 10.0.0.1 地址：上海市某路1号，wxid_ab1 @bob https://ex.org:80/x?y"
+    text = "call 13812345678 or a.b@c.org password: hunter22 id 11010119900307123X card 6222021234567890 at 31.23041, 121.47371 ip 10.0.0.1 地址：上海市某路1号。wxid_ab1 @bob https://ex.org:80/x?y"
     df = spark.createDataFrame([(1, text), (2, None), (3, "tokenizer self target")], "id long, text string")
     rows = {r.id: r for r in privacy.with_redaction(df, "text").collect()}
     assert rows[1].categories == sorted({c for _, c, _ in privacy.STEPS} | {"link_identifier"}) and "hunter22" not in rows[1].redacted and "<LINK:ex.org>" in rows[1].redacted
