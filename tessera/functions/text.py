@@ -125,8 +125,3 @@ def masked_text(c: Column | str, most: int | None = None) -> Column:
     """The text with the values of bearer, key, token, password and secret masked, quoted ones too; ``most`` cuts it for display."""
     whole = col(c) if most is None else F.substring(col(c), 1, most)
     return F.regexp_replace(whole, r"""(?iU)(bearer\s+|(?:api[_-]?key|token|password|secret)["']?\s*[:=]\s*["']?)[^\s,;"'}]+""", "$1[REDACTED]")
-
-
-def masked_values(c: Column | str, most: int = 65_536) -> Column:
-    """The first ``most`` characters with what follows key words masked, by the words of the query's SQL; ``masked_text`` does whole texts."""
-    return F.regexp_replace(F.substring(col(c), 1, most), r"(?i)\b(bearer|api[_-]?key|token|password|secret)(\s*[:=]\s*|\s+)\S+", "$1$2[REDACTED]")

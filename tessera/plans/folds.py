@@ -134,14 +134,6 @@ def html_visible_text(spark, d):
     return chat.visible_text(read(spark, d, "pages", "page_id", "html"), "page_id", "html")
 
 
-@query("date_resolution", "SELECT doc_id, CASE WHEN v = '' THEN NULL ELSE v END AS value, CASE WHEN v = '' THEN 'unknown' ELSE 'year' END AS precision FROM (SELECT item_id AS doc_id, regexp_extract('in ' || (1990 + item_id % 40) || ' ' || left(text, 10), '((?:19|20)[0-9]{2})', 1) AS v FROM benchmark)")
-def date_resolution(spark, d):
-    """Beginnings of benchmark items with a year put before them, as its SQL says; ``document_dates`` resolves whole texts."""
-    b = read(spark, d, "benchmark", "item_id", "text").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("in "), 1990 + F.col("item_id") % 40, F.lit(" "), F.substring("text", 1, 10)).alias("t"))
-    r = b.select("doc_id", pk.resolved_date(F.col("t"), F.lit("2024-01-01").cast("date")).alias("r"))
-    return r.select("doc_id", "r.value", "r.precision")
-
-
 _YMD, _YM, _MD = "((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})", "((?:19|20)[0-9]{2})[-/.年]([0-9]{1,2})", "(?:^|[^0-9])([0-9]{1,2})月([0-9]{1,2})日?"
 _DATES = f"""WITH t AS (SELECT doc_id, text, {", ".join(f"regexp_extract(text, '{p}', {k}) AS {n}{k}" for n, p, most in (("f", _YMD, 3), ("m", _YM, 2), ("d", _MD, 2)) for k in range(1, most + 1))}, regexp_extract(text, '(?:19|20)[0-9]{{2}}') AS y FROM documents),
 r AS (SELECT doc_id, CASE WHEN contains(text, '前天') THEN ['2023-12-30', 'day'] WHEN contains(text, '昨天') THEN ['2023-12-31', 'day'] WHEN contains(text, '今天') THEN ['2024-01-01', 'day'] WHEN contains(text, '明天') THEN ['2024-01-02', 'day'] WHEN contains(text, '后天') THEN ['2024-01-03', 'day']

@@ -264,3 +264,16 @@ def variant_sets(spark, d):
     every = e.agg(F.countDistinct("user_id").alias("every"))
     found = e.groupBy(F.col("event_type").alias("variant")).agg(F.countDistinct("user_id").alias("cases"))
     return found.crossJoin(every).select("variant", "cases", (F.col("cases") == F.col("every")).alias("complete"))
+
+
+@query("content_overlap", "WITH t AS (SELECT DISTINCT sha256(text) AS h, 'part' || (doc_id % 3) AS part FROM documents) SELECT a.part AS a, b.part AS b, count(*) AS n FROM t a JOIN t b ON a.h = b.h AND a.part < b.part GROUP BY 1, 2")
+def content_overlap(spark, d):
+    """Parts: ids modulo 3; how many contents each two share."""
+    from tessera.operators.splits import overlap
+
+    return overlap(read(spark, d, "documents", "doc_id", "text").select(F.sha2("text", 256).alias("h"), F.concat(F.lit("part"), F.col("doc_id") % 3).alias("part")), "h", "part")
+
+
+@query("unlabelled_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, d):
+    return read(spark, d, "documents", "doc_id").join(read(spark, d, "labels", "doc_id"), "doc_id", "left_anti")

@@ -69,37 +69,24 @@ def anti_join_gate(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
-_POST = """t AS (SELECT lang AS owner, doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
+_POST = """t AS (SELECT 'all' AS owner, doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
 p AS (SELECT owner, doc_id, dl, term, count(*) AS tf FROM (SELECT owner, doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
 st AS (SELECT owner, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY 1),
 df AS (SELECT owner, term, count(*) AS df FROM p GROUP BY ALL),
-q AS (SELECT DISTINCT item_id, 'en' AS owner, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id, 'all' AS owner, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM benchmark),
 hits AS (SELECT item_id, p.doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS lexical
   FROM q JOIN df USING (owner, term) JOIN st USING (owner) JOIN p USING (owner, term) GROUP BY 1, 2),
 ranked AS (SELECT item_id, doc_id, round(lexical, 6) AS lexical, row_number() OVER (PARTITION BY item_id ORDER BY round(lexical, 6) DESC, doc_id) AS rank FROM hits)"""
 
 
-def _bm25(spark, d, every=False):
-    """Cards are owned by their language and searched as 'en'; with ``every`` all cards have one owner and are searched."""
-    cards = read(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("lang", "owner")
-    cards = cards.withColumn("owner", F.lit("all")) if every else cards
-    q = read(spark, d, "benchmark", "item_id", "text").withColumn("owner", F.lit("all" if every else "en"))
+def _bm25(spark, d):
+    """All documents are cards of one owner, whatever their language."""
+    cards = read(spark, d, "documents", "doc_id", "text").withColumn("owner", F.lit("all"))
+    q = read(spark, d, "benchmark", "item_id", "text").withColumn("owner", F.lit("all"))
     scored = rt.bm25(cards, q, "doc_id", "text", "owner", "item_id", tx.lexical_tokens("text"))
     return rt.top_k(scored.withColumn("lexical", F.round("lexical", 6)), "item_id", "lexical", [F.col("doc_id")], 5)
 
 
-@query("bm25_topk", f"WITH {_POST} SELECT item_id, doc_id, lexical, rank FROM ranked WHERE rank <= 5")
-def bm25_topk(spark, d):
-    """English documents alone, as its SQL says; ``bm25_topk_all`` searches all."""
-    return _bm25(spark, d).select("item_id", "doc_id", "lexical", "rank")
-
-
-@query("recall_mrr", f"WITH {_POST}, k AS (SELECT * FROM ranked WHERE rank <= 5), h AS (SELECT item_id, min(rank) FILTER (doc_id % 7 = item_id % 7) AS best FROM k GROUP BY 1) SELECT (SELECT count(*) FROM benchmark) AS cases, round(count(best) / (SELECT count(*) FROM benchmark), 9) AS recall, round(coalesce(sum(1 / best), 0) / (SELECT count(*) FROM benchmark), 9) AS mrr, round(((SELECT count(*) FROM benchmark) - count(*)) / (SELECT count(*) FROM benchmark), 9) AS no_evidence FROM h")
-def recall_mrr(spark, d):
-    """Over the search of ``bm25_topk``: relevant ids of all languages, found in English documents alone."""
-    return _report(spark, d, _bm25(spark, d))
-
-
 def _report(spark, d, ranked):
     """Relevant here: documents whose id has the query's remainder modulo 7, so each case has some as long as there are ids of each remainder."""
     items = read(spark, d, "benchmark", "item_id")
@@ -110,20 +97,16 @@ def _report(spark, d, ranked):
     return rt.report(ranked, met.unionByName(some).distinct(), items, "item_id", "doc_id")
 
 
-#: All documents, whatever their language, as the cards of one owner.
-_POST_ALL = _POST.replace("SELECT lang AS owner", "SELECT 'all' AS owner").replace("'en' AS owner", "'all' AS owner")
-
-
-@query("bm25_topk_all", f"WITH {_POST_ALL} SELECT item_id, doc_id, lexical, rank FROM ranked WHERE rank <= 5")
-def bm25_topk_all(spark, d):
+@query("bm25_topk", f"WITH {_POST} SELECT item_id, doc_id, lexical, rank FROM ranked WHERE rank <= 5")
+def bm25_topk(spark, d):
     """Every document is searched, those of other languages and of none included; statistics are of all documents."""
-    return _bm25(spark, d, every=True).select("item_id", "doc_id", "lexical", "rank")
+    return _bm25(spark, d).select("item_id", "doc_id", "lexical", "rank")
 
 
-@query("recall_mrr_all", f"WITH {_POST_ALL}, k AS (SELECT * FROM ranked WHERE rank <= 5), h AS (SELECT item_id, min(rank) FILTER (doc_id % 7 = item_id % 7) AS best FROM k GROUP BY 1) SELECT (SELECT count(*) FROM benchmark) AS cases, round(count(best) / (SELECT count(*) FROM benchmark), 9) AS recall, round(coalesce(sum(1 / best), 0) / (SELECT count(*) FROM benchmark), 9) AS mrr, round(((SELECT count(*) FROM benchmark) - count(*)) / (SELECT count(*) FROM benchmark), 9) AS no_evidence FROM h")
-def recall_mrr_all(spark, d):
-    """``recall_mrr`` over the search of all documents."""
-    return _report(spark, d, _bm25(spark, d, every=True))
+@query("recall_mrr", f"WITH {_POST}, k AS (SELECT * FROM ranked WHERE rank <= 5), h AS (SELECT item_id, min(rank) FILTER (doc_id % 7 = item_id % 7) AS best FROM k GROUP BY 1) SELECT (SELECT count(*) FROM benchmark) AS cases, round(count(best) / (SELECT count(*) FROM benchmark), 9) AS recall, round(coalesce(sum(1 / best), 0) / (SELECT count(*) FROM benchmark), 9) AS mrr, round(((SELECT count(*) FROM benchmark) - count(*)) / (SELECT count(*) FROM benchmark), 9) AS no_evidence FROM h")
+def recall_mrr(spark, d):
+    """Over the search of all documents."""
+    return _report(spark, d, _bm25(spark, d))
 
 
 _COS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),

@@ -82,12 +82,6 @@ def canary_scan(spark, d):
     return read(spark, d, "documents", "lang", "text").groupBy(F.col("lang").alias("split")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("text").rlike(r"(?i)(token|password|secret)\s*[:=]")).alias("n_hits"))
 
 
-@query("masked_values", r"SELECT doc_id, sha256(regexp_replace(text[1:65536], '(?i)\b(bearer|api[_-]?key|token|password|secret)(\s*[:=]\s*|\s+)\S+', '\1\2[REDACTED]', 'g')) AS masked_sha256 FROM documents")
-def masked_values(spark, d):
-    """The first 65,536 characters, as its SQL says; ``masked_texts`` masks whole texts."""
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.masked_values("text"), 256).alias("masked_sha256"))
-
-
 @query("masked_texts", r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)(bearer[\s\x0b\x85\pZ]+|(?:api[_-]?key|token|password|secret)["'']?[\s\x0b\x85\pZ]*[:=][\s\x0b\x85\pZ]*["'']?)[^\s\x0b\x85\pZ,;"''}]+', '\1[REDACTED]', 'g')) AS masked_sha256 FROM documents""")
 def masked_texts(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(tx.masked_text("text"), 256).alias("masked_sha256"))
@@ -227,18 +221,6 @@ def primary_reason(spark, d):
     return _decided(spark, d).groupBy("split", cu.primary_reason(F.col("reasons")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "repetition_cap",
-    "WITH t AS (SELECT *, left(text, 12) AS template, len(text) > 0 AS sel FROM documents), f AS (SELECT template FROM t GROUP BY 1 HAVING count(*) >= 3), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY lang, template ORDER BY sha256(doc_id::VARCHAR)) AS k FROM t) "
-    "SELECT doc_id, NOT (template IN (SELECT template FROM f) AND k > 2) AS selected FROM r",
-)
-def repetition_cap(spark, d):
-    """Templates here: the first 12 characters, as its SQL says (``repetition_cap_decisions`` has the real ones); three uses make one repetitive, two a language stay."""
-    t = read(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.substring("text", 1, 12).alias("template"), F.lit(12).alias("template_chars"), F.lit(True).alias("selected"), F.array().cast("array<string>").alias("reasons"))
-    return cu.cap_templates(t, t, "doc_id", cu.Policy(template_least=3, cap=2), "lang").select("doc_id", "selected")
-
-
 _CAPPED = (
     f", k AS (SELECT *, {_TEMPLATE.format('a')} AS template, len(reasons) = 0 AS sel FROM decided), f AS (SELECT template FROM k WHERE split = 'train' AND len(template) <= 32 GROUP BY 1 HAVING count(*) >= 6), "
     "r AS (SELECT *, sel AND template IN (SELECT template FROM f) AND row_number() OVER (PARTITION BY split, template, sel ORDER BY sha256(sample_id)) > 3 AS over FROM k)"

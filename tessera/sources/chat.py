@@ -67,7 +67,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def _shapes(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Files by the first character that isn't blank: ``{`` with messages in its file is an object, ``[`` an array, all else lines."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.ltrim("value").alias("v")).where("v <> ''")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), F.ltrim("value").alias("v")).where("v <> ''")
     heads = lines.groupBy("path").agg(F.min_by(F.substring("v", 1, 1), F.struct("b", "m")).alias("head"), F.bool_or(F.col("v").contains('"messages"')).alias("nested")).collect()  # a row a file
     out: dict[str, list[str]] = {"object": [], "array": [], "lines": []}
     for r in heads:
@@ -81,7 +81,7 @@ def json_messages(spark: SparkSession, path: str) -> DataFrame:
     for shape, files in _shapes(spark, path).items():
         if not files:
             continue
-        df = spark.read.json(files, multiLine=shape != "lines").withColumns({"path": F.col("_metadata.file_path"), "__b": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()})
+        df = spark.read.option("recursiveFileLookup", "true").json(files, multiLine=shape != "lines").withColumns({"path": F.col("_metadata.file_path"), "__b": F.col("_metadata.file_block_start"), "__m": F.monotonically_increasing_id()})
         if shape == "object":
             df = df.select("path", F.posexplode("messages").alias("record_index", "__o")).select("path", "record_index", "__o.*")
         else:
