@@ -152,9 +152,9 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
         more = sizes[which] > j
         nxt = np.where(more, flat[np.maximum(ends[which] - j - 1, 0)], NONE).astype(np.uint8)
         size = len(symbol) + len(spots)
-        fresh = np.zeros(size, bool)
-        fresh[spots] = True
-        symbol, common, ref = (_woven(old, fresh, spots, put) for old, put in ((symbol, nxt), (common, lcp_up.astype(np.int16)), (ref, which.astype(np.int64) << 16 | j)))
+        kept = np.ones(size, bool)
+        kept[spots] = False
+        symbol, common, ref = (_woven(old, kept, spots, put) for old, put in ((symbol, nxt), (common, lcp_up.astype(np.int16)), (ref, which.astype(np.int64) << 16 | j)))
         after = spots + 1
         inside = after < size
         # the suffix below, whether old or of this round, meets the new one now
@@ -188,9 +188,9 @@ def shared_windows(segments: list[bytes], length: int, group: np.ndarray) -> lis
     return np.split(at - (ends - sizes)[owner[at]], np.searchsorted(at, ends[:-1]))
 
 
-def _woven(old: np.ndarray, fresh: np.ndarray, spots: np.ndarray, put: np.ndarray) -> np.ndarray:
-    out = np.empty(len(fresh), old.dtype)
-    out[~fresh] = old
+def _woven(old: np.ndarray, kept: np.ndarray, spots: np.ndarray, put: np.ndarray) -> np.ndarray:
+    out = np.empty(len(kept), old.dtype)
+    out[kept] = old
     out[spots] = put
     return out
 
@@ -341,11 +341,13 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 at += len(part)
 
     long_rows = rows.where(F.length("__text") >= length)
-    placed = stored(map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int").dropDuplicates(["mini", "digest", "a"]))
-    times = placed.groupBy("mini").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    placed = stored(map_batches(long_rows.select("digest", "__text"), to_runs, "mini bigint, digest binary, a int, b int"))
+    # a run that tasks found in copies of one text is one run: least and greatest tell if there is another
+    one = F.xxhash64("digest", "a")
+    times = placed.groupBy("mini").agg(F.count(F.lit(1)).alias("times"), F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("mini", "times")
     wanted = cut(with_count(placed, times, "mini", F.struct("digest", "a"), "inner"))
     discard(placed)
-    by_text = wanted.groupBy("digest").agg(F.collect_list(F.struct("mini", "a", "b", (F.col("times") > hot).alias("hot"))).alias("runs"))
+    by_text = wanted.groupBy("digest").agg(F.collect_set(F.struct("mini", "a", "b", (F.col("times") > hot).alias("hot"))).alias("runs"))
     once = long_rows.groupBy("digest").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).alias("n"))
     texts = stored(once.join(by_text, "digest", "left").where("runs IS NOT NULL OR n > 1").select("digest", "n", "__text", "runs"))
 
