@@ -76,6 +76,17 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % F.lit(folds), F.lit(-1))
 
 
+def labelled_ids(docs: DataFrame, labels: DataFrame, key: str, label: str, highest: bool, sample: int, salt: int) -> DataFrame:
+    """__id, __y and __o (their order) of the ``sample`` labelled ids with the lowest hash, of those that stand in just one row of ``docs``.
+
+    Only ids are moved.  So the rows of ``docs`` with these ids are ``sample`` at most, whatever is repeated, and labels without a document take no place.
+    """
+    best = F.max if highest else F.min
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(best(label).alias("__y"))
+    single = docs.groupBy(F.col(f"`{key}`").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select("__id")
+    return known.join(single, "__id").withColumn("__o", F.xxhash64("__id", F.lit(salt))).orderBy("__o", "__id").limit(sample)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared checkpoint folder and read again; for wide rows, as it compresses."""
     ensure_checkpoints(df.sparkSession)

@@ -5,7 +5,7 @@ thresholds on them.  Lists are learned by sequential covering: a rule is grown b
 adding the threshold condition of highest information gain, pruned on rows kept
 apart, accepted if it is precise there, and the rows it covers go before the next
 rule grows.  Learning sees the statistics of at most ``SAMPLE`` labelled rows, the
-ones with the lowest hash of their id; this bound is its only use of a sample, and
+ones with the lowest hash of their id among those whose id stands in one row; this bound is its only use of a sample, and
 every statistic and verdict covers all rows and whole texts.
 
 Main path: built-in expressions alone, one scan, no shuffle.  Windows of five words
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import labelled_ids, table
 
 #: Labelled rows that learning sees, at most.
 SAMPLE = 20_000
@@ -40,11 +40,11 @@ def _dropped(text: Column, chars: str) -> Column:
 
 
 def with_statistics(df: DataFrame, text: str) -> DataFrame:
-    """``df`` plus the columns of ``STATISTICS`` and ``COUNTS``; names with ``__`` are in use on the way."""
-    keep = df.columns
+    """``df`` plus the columns of ``COUNTS``, which replace columns of these names; on the way the row is carried as a struct, so no name clashes."""
+    keep = [c for c in df.columns if c not in COUNTS]
     trimmed = F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACE))
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = df.withColumns({"__t": trimmed, "__raw": raw})
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), trimmed.alias("__t"), raw.alias("__raw"))
     out = out.withColumns({"__w": F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", r"[ \t-\r]+")), "__l": F.expr(r"filter(split(__raw, '\n'), l -> btrim(l, ' \t\u000b\f\r') <> '')")})
     out = out.withColumns({"n_words": F.size("__w").cast("long"), "__h": F.expr("transform(slice(__w, 1, greatest(size(__w) - 4, 0)), (w, i) -> xxhash64(w, get(__w, i + 1), get(__w, i + 2), get(__w, i + 3), get(__w, i + 4)))")})
     out = out.withColumn("__b", F.length(F.bin("n_words")).cast("int"))
@@ -54,17 +54,17 @@ def with_statistics(df: DataFrame, text: str) -> DataFrame:
     out = out.withColumns(
         {
             "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": _dropped(raw, "[#*$%&|<>]"),
-            "n_upper": _dropped(raw, r"\p{Lu}"),
-            "n_marks": _dropped(raw, "[!?]"),
-            "n_digits": _dropped(raw, "[0-9]"),
+            "n_symbols": _dropped(F.col("__raw"), "[#*$%&|<>]"),
+            "n_upper": _dropped(F.col("__raw"), r"\p{Lu}"),
+            "n_marks": _dropped(F.col("__raw"), "[!?]"),
+            "n_digits": _dropped(F.col("__raw"), "[0-9]"),
             "n_lines": F.size("__l").cast("long"),
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "n_distinct": F.size(F.array_distinct("__w")).cast("long"),
             "n_repeat_words": F.expr("CASE WHEN size(__p) = 0 THEN 0L ELSE aggregate(sequence(0, size(__p) - 1), 0L, (a, i) -> a + least(5L, coalesce(get(__p, i + 1) - get(__p, i), 5L))) END"),
         }
     )
-    return out.select(*[F.col(f"`{c}`") for c in keep], *COUNTS)
+    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *COUNTS)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_digits", "n_lines", "n_dup_lines", "n_distinct", "n_repeat_words")
@@ -178,12 +178,11 @@ def learn(x: np.ndarray, bad: np.ndarray, hold: np.ndarray, names: list[str], pr
 
 def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """A decision list from the documents that ``labels`` covers (label 0: to be rejected), ``sample`` of them at most."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min(label).alias("__y"))
-    known = known.withColumn("__o", F.xxhash64("__id", F.lit(5))).orderBy("__o", "__id").limit(sample)
+    known = labelled_ids(docs, labels, key, label, False, sample, 5)
     # `sample` ids of eight bytes each: the side that is broadcast has a proven bound.
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(known), "__id")
     stats = with_statistics(rows, "__text").select("__o", "__y", F.expr(BASE_FAILED).alias("__failed"), *[F.expr(sql).alias(f"s_{name}") for name, sql in STATISTICS.items()])
-    found = stats.orderBy("__o", *[f"s_{n}" for n in STATISTICS]).limit(2 * sample).collect()
+    found = stats.orderBy("__o", *[f"s_{n}" for n in STATISTICS]).limit(sample).collect()
     names = list(STATISTICS)
     # Base rules have their own verdict; the list learns what they leave.
     found = [r for r in found if not r["__failed"]]
@@ -196,8 +195,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
 
 
 def judge(df: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """``df`` plus the counts, base_failed and kept."""
-    return with_statistics(df, text).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~rules.rejected())
+    """``df`` plus the counts, base_failed and kept, which replace columns of these names."""
+    named = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("base_failed", "kept")])
+    return with_statistics(named, text).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~rules.rejected())
 
 
 def keep_good(df: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ The score is a logistic function of the summed weights, their sum per square roo
 words, and the hit count.
 
 Lexicon, exceptions and the logistic function are learned from at most ``SAMPLE`` labelled
-training rows, the ones with the lowest hash of their id, so that only bounded id lists are broadcast
+training rows, the ones with the lowest hash of their id among those whose id stands in one row, so that only bounded id lists are broadcast
 and no text is shuffled: term weights are smoothed log odds of document counts, the logistic function is
 fitted to the features.  The lexicon has at most ``TERMS`` entries, which bounds what is sent to scorers.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_of, map_batches, table
+from tessera.llm.common import fold_of, labelled_ids, map_batches, table
 
 #: Entries of the lexicon, at most; exception phrases, at most.
 TERMS, EXCEPTIONS = 2000, 500
@@ -225,8 +225,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """A lexicon from the documents that ``labels`` covers (label 1: toxic). Give it training rows only."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(label).alias("__y"))
-    known = known.withColumn("__o", F.xxhash64("__id", F.lit(9))).orderBy("__o", "__id").limit(sample).select("__id", "__y")
+    known = labelled_ids(docs, labels, key, label, True, sample, 9).select("__id", "__y")
     # `sample` ids and labels: the side that is broadcast has a proven bound.
     rows = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(known), "__id")
     counts, n_bad, n_good = _count_terms(rows)
@@ -248,10 +247,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``df`` without ``text`` plus score and predicted; one narrow pass with the lexicon (bounded by its maker) in the closure."""
-    rest = [c for c in df.columns if c != text]
+    """``df`` without ``text`` plus score and predicted (which replace columns of these names); one narrow pass with the lexicon (bounded by its maker) in the closure."""
+    rest = [c for c in df.columns if c not in (text, "score", "predicted")]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest)
+    fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in rest)
     lexicon = Lexicon(lexicon.weights, lexicon.exceptions, lexicon.fit)  # without the automaton: each worker builds its own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +258,7 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float
             s = [lexicon.score(t) for t in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*rest, "score", "predicted"])
 
-    return map_batches(source, run, f"{fields}, score double, predicted int")
+    return map_batches(source, run, f"{fields}score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
