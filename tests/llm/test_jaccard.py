@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("tessera.llm")
 from tessera.llm.components import connected_components
 from tessera.llm.hashing import shingles, window_hashes
-from tessera.llm.jaccard import depth_for, forest, jaccard_classes, op6_jaccard, shared_counts
+from tessera.llm.jaccard import depth_for, forest, found_with, jaccard_classes, measured_recall, op6_jaccard, shared_counts, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,3 +109,38 @@ def test_query(spark, sf_dir):
 
 def test_empty(spark):
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefixes_shorten_until_the_recall_is_reached():
+    bins = np.zeros(64)
+    assert measured_recall(bins, 0.8, 8, 16) == pytest.approx(found_with(0.8, 8, 16))
+    bins[60] = 10_000  # close copies alone: whole signatures find them
+    assert measured_recall(bins, 0.8, 8, 16) > 0.9997
+    bins[0] = 5_000  # links at the threshold: they don't
+    assert measured_recall(bins, 0.8, 8, 16) < 0.99 and measured_recall(bins, 0.8, 4, 16) >= 0.9997
+    assert found_with(0.8, depth_for(0.8), 16) >= 0.9997 > found_with(0.8, depth_for(0.8) + 1, 16)
+
+
+def test_recall_of_signatures():
+    """Pairs of a given similarity share prefixes as often as the estimate says."""
+    rnd = np.random.default_rng(7)
+    sets = []
+    for _ in range(400):  # 4 of 5 shared: similarity 0.8
+        common, a, b = np.split(rnd.integers(0, 1 << 63, 120, dtype=np.uint64), [96, 108])
+        sets += [np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))]
+    signs = signatures(sets)
+    for depth in (8, 6, 4):
+        met = np.mean([any(x[t * 16 : t * 16 + 2 * depth] == y[t * 16 : t * 16 + 2 * depth] for t in range(16)) for x, y in zip(signs[::2], signs[1::2], strict=True)])
+        assert abs(met - found_with(0.8, depth, 16)) < 0.03
+
+
+@pytest.mark.parametrize("recall", [0.5, 0.999999])
+def test_links_are_exact_and_counted_once(spark, recall):
+    """Whatever the target, what is reported is a true link counted once; a high target finds all."""
+    rows = made_up()
+    got = sorted(map(tuple, jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=recall).collect()))
+    want = brute(rows)
+    assert all(g[2] <= w[2] for g, w in zip(got, want, strict=True))
+    assert sum(g[2] for g in got) >= 0.9 * sum(w[2] for w in want)
+    if recall > 0.99:
+        assert got == want

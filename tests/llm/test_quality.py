@@ -84,3 +84,27 @@ def test_lines_keep_the_edges_of_the_text(spark):
     texts = ["x\nx ", "x\r\nx\r\n", " x\nx", "\nx\nx\n"]
     got = {r.doc_id: r.n_dup_lines for r in judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), DecisionList(())).collect()}
     assert [got[i] for i in range(4)] == [brute(t)[3] for t in texts] == [0, 1, 0, 1]
+
+
+def test_edges_of_lines(spark):
+    texts = [" a b\n a b", "a b\na b ", "  x y z\n  x y z\nq", "a\x0bb\na\x0bb\x0b", "p q\np q\t\n"]
+    got = {r.doc_id: r.n_dup_lines for r in judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), DecisionList(())).collect()}
+    assert [got[i] for i in range(5)] == [brute(t)[3] for t in texts] == [1, 0, 1, 0, 0]
+
+
+def test_verdicts_by_plain_rules(spark, sf_dir):
+    """kept against the learned list, followed rule by rule in Python on counts made there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = learn_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = {r.doc_id: r.kept for r in op9_quality(spark, sf_dir).collect()}
+    share = lambda a, b: a / b if b else 0.0
+    for r in docs.collect():
+        text = r.text or ""
+        words, chars, symbols, dups, repeats = brute(text)
+        w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+        stats = {
+            "n_words": words, "mean_word": share(chars, words), "symbols_per_word": share(symbols, words), "upper_share": share(sum(c.isupper() for c in text), chars), "marks_per_word": share(sum(c in "!?" for c in text), words),
+            "digit_share": share(sum(c in "0123456789" for c in text), chars), "dup_line_share": share(dups, len(lines)), "distinct_share": share(len(set(w)), words), "repeat_share": share(repeats, words), "words_per_line": share(words, len(lines)),
+        }
+        rejected = any(all(stats[n] >= b if above else stats[n] <= b for n, above, b in rule.conditions) for rule in rules.rules)
+        assert kept[r.doc_id] == (not (words < 10 or 100 * repeats > 20 * words) and not rejected), text

@@ -72,3 +72,88 @@ def test_frames(spark):
 def test_long_text():
     base, every = find_spans((f"{KEY} {BARE} " + "word " * 100) * 2000)
     assert len(base) == 2000 and len(every) == 4000
+
+
+def all_matches(text):
+    """Base spans by trying every start, in plain loops."""
+    names = ("password", "passwd", "secret", "token", "apikey", "api_key")
+    out, i = [], 0
+    while i < len(text):
+        name = max((n for n in names if text[i : i + len(n)].isascii() and text[i : i + len(n)].lower() == n), key=len, default=None)
+        j = None
+        if name:
+            k = i + len(name)
+            k += text[k : k + 1] in ("'", '"')
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] in (":", "="):
+                k += 1
+                while text[k : k + 1] == " ":
+                    k += 1
+                k += text[k : k + 1] in ("'", '"')
+                j = k
+                while j < len(text) and re.match("[A-Za-z0-9+/_.=-]", text[j]):
+                    j += 1
+                if j - k >= 8:
+                    out.append((i, 0, j))
+                j = j if j > k else None
+        i = j or i + 1
+    return sorted(out + brute(text))
+
+
+def linked_by_pairs(text, base, scope=400):
+    """Weak candidates by looking at every pair of parts."""
+    from tessera.llm.secrets import BARE as WEAK
+    from tessera.llm.secrets import ENDPOINT, paragraph_starts
+
+    starts = paragraph_starts(text)
+    paragraph = lambda p: sum(s <= p for s in starts)
+    near = lambda a, parts: any(a != p and max(p[0] - a[1], a[0] - p[1]) <= scope and paragraph(a[0]) == paragraph(p[0]) for p in parts)
+    of = lambda k: [(s, e) for s, kind, e in base if kind == k]
+    bare = [(m.start(), m.end()) for m in WEAK.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+    bare = [p for p in bare if near(p, of(1)) and re.search("[a-z]", text[slice(*p)]) and re.search("[A-Z]", text[slice(*p)]) and re.search("[0-9]", text[slice(*p)])]
+    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    ends = [p for p in ends if near(p, of(1)) and near(p, [*bare, *of(0), *of(2)])]
+    return sorted([(s, 3, e) for s, e in bare] + [(s, 4, e) for s, e in ends])
+
+
+def made_up(rnd):
+    parts = [KEY, BARE, "https://x.internal/a", "db.local:80", "0af" * 12, "password=hunter22", "token: 'abcd1234", f"secret={'0af' * 12}.{'1be' * 11}.{'2cd' * 11}.{BARE}", "words and more words", "\n\n", "\n", "x" * 450, "apikey=short"]
+    return " ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+
+
+def test_against_plain_loops():
+    import random
+
+    rnd = random.Random(6)
+    found = 0
+    for _ in range(1500):
+        text = made_up(rnd)
+        base, every = find_spans(text)
+        assert base == all_matches(text), text
+        assert sorted(set(every) - set(base)) == linked_by_pairs(text, base), text
+        found += len(every) - len(base)
+    assert found > 200
+
+
+def test_span_that_reaches_over_others():
+    """A weak candidate inside a long assignment isn't free, however many spans start in between."""
+    text = f"{KEY} password={'0af' * 12}.{'0af' * 12}.{'0af' * 12}.{'0af' * 12}.{BARE}"
+    base, every = find_spans(text)
+    assert base == every
+
+
+def test_query(spark):
+    import hashlib
+
+    from tessera.llm.secrets import op5_secrets
+
+    sf_dir = "/root/testdata/sf0.01"  # the smallest table holds no secret
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op5_secrets(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+    for r in rows:
+        base = all_matches(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        assert r.spans == written(sorted(base + linked_by_pairs(texts[r.doc_id], base)))

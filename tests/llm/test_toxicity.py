@@ -54,3 +54,29 @@ def test_cases(spark):
     assert len(rows) == 5 and {r.score for r in rows} == {0.5}
     assert score(docs.limit(0), lx).count() == 0
     assert learn(docs, labels.limit(0)).weights == {}
+
+
+def test_held_out_recall_and_precision(spark):
+    """Better than any rule that ignores the text: most toxic rows are found and most found rows are toxic."""
+    d = "/root/testdata/sf0.1"
+    rows = op2_toxicity(spark, d).collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    hits = sum(p and y for p, y in held)
+    assert hits >= 0.7 * sum(y for _, y in held) and hits >= 0.8 * sum(p for p, _ in held)
+
+
+def test_counts_behind_the_lexicon(spark):
+    """Document counts of candidate terms against plain Python."""
+    import collections
+
+    from tessera.llm.toxicity import _count_terms, stems, words_of
+
+    texts = [("you idi0t", 1), ("idiot idiot", 1), ("the IDIOT", 1), ("idiotic", 1), ("the end", 0), (None, 0), ("a quiet idiom", 0)]
+    counts, bad, good = _count_terms(spark.createDataFrame(texts, "__text string, __y int"))
+    want = collections.defaultdict(lambda: [0, 0])
+    for t, y in texts:
+        for s in {s for w in words_of(t or "") for s in stems(w)}:
+            want[s][1 - y] += 1
+    assert (bad, good) == (4, 3)
+    assert {t: (b, g) for t, b, g in counts} == {t: (b, g) for t, (b, g) in want.items() if b >= 4 and b > g}
