@@ -238,23 +238,28 @@ def _sorted_groups(length: int):
             """Windows whose hash is met once in their group are unique; what is left of segments is often the same string again, which is sorted once."""
             segments = [seg for g in closed for seg in g]
             starts = iter(shared_windows(segments, length, np.repeat(np.arange(len(closed)), [len(g) for g in closed])) if segments else ())
-            size = 0
             for group in closed:
                 shared: dict[bytes, list[tuple[bytes, int]]] = {}
                 for seg, who in group.items():
                     for a, b in _as_ranges(next(starts)):
                         shared.setdefault(seg[a : b + length], []).extend((digest, first + a) for digest, first in who)
-                if len(shared) == 1 and all(len(who) > 1 for who in shared.values()):
-                    # one string that several hold, and nothing else to match: equality says all
-                    (seg, who), *_ = shared.items()
-                    out.extend((digest, first, first + len(seg) - length) for digest, first in who)
+                if all(len(who) > 1 for who in shared.values()):
+                    # each string is held several times as a whole: equality says all
+                    out.extend((digest, first, first + len(seg) - length) for seg, who in shared.items() for digest, first in who)
                 elif shared:
                     held.append(shared)
-                    size += sum(map(len, shared))
-                    if size >= BATCH:
-                        flush()
-                        size = 0
             closed.clear()
+
+        def sort() -> None:
+            """Sort what is held in batches of strings of like length, as a batch takes as many rounds as its longest string has bytes."""
+            waiting, size = sorted(held, key=lambda g: max(map(len, g))), 0
+            held.clear()
+            for shared in waiting:
+                held.append(shared)
+                size += sum(map(len, shared))
+                if size >= BATCH:
+                    flush()
+                    size = 0
             flush()
 
         def close(group: dict[bytes, list[tuple[bytes, int]]]) -> int:
@@ -275,6 +280,8 @@ def _sorted_groups(length: int):
                     if size >= TRIM:
                         trim()
                         size = 0
+                        if sum(len(seg) for g in held for seg in g) >= TRIM:
+                            sort()
                     if len(out) > 20_000:
                         yield emit()
                 mini = now
@@ -282,6 +289,7 @@ def _sorted_groups(length: int):
         if group:
             close(group)
         trim()
+        sort()
         yield emit()
 
     return run
