@@ -141,3 +141,29 @@ def lineage(**objects: tuple[DataFrame, str, str]) -> DataFrame:
         rows = df.groupBy(F.col(object_).cast("string").alias("object_id")).agg(F.array_sort(F.collect_set(F.col(source).cast("long"))).alias("sources")).select(F.lit(kind).alias("kind"), "object_id", "sources")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+#: States of an external operation that it doesn't leave any more.
+TERMINAL = ("succeeded", "failed", "cancelled")
+
+
+def observed(messages: Sequence[tuple[object, str]], most: int = 100) -> dict:
+    """The state of an external operation after its messages (id, status), in order.
+
+    A message id that comes again with the same status is a repeat, with another one a conflict; a status that is told again by a new message changes nothing;
+    a terminal state stays unless another terminal one comes.  ``kept`` are the last ``most`` observations that counted.
+    """
+    seen: dict[object, str] = {}
+    last, status, kept, repeats, conflicts = None, "accepted", [], 0, 0
+    for message, told in messages:
+        if message in seen:
+            repeats, conflicts = repeats + (seen[message] == told), conflicts + (seen[message] != told)
+            continue
+        if told == last:
+            continue
+        seen[message] = last = told
+        if status in TERMINAL and told not in TERMINAL:
+            continue
+        status = told
+        kept = [*kept, told][-most:]
+    return {"status": status, "kept": kept, "repeats": repeats, "conflicts": conflicts}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that register queries.
-FAMILIES = ("sessions", "texts", "measures", "ledgers", "folds", "joins", "decisions", "reports", "messages", "searches", "tables", "scans")
+FAMILIES = ("sessions", "texts", "measures", "ledgers", "folds", "joins", "decisions", "reports", "messages", "searches", "tables", "scans", "plugged")
 
 
 def load_catalog():

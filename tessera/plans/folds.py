@@ -12,7 +12,14 @@ from tessera.sources import chat
 KEYWORDS = {"question": ("?",), "the": ("the ",), "die": ("die ",), "les": ("les ",), "que": ("que ",)}
 
 
-@query("evidence_chunks")
+@query(
+    "evidence_chunks",
+    """WITH RECURSIVE m AS (SELECT conv_id, turn, len(coalesce(text, '')) + len(coalesce(role, '')) + 2 AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    f AS (SELECT conv_id, turn, k, c AS size, 1 AS n, 0 AS chunk_no FROM m WHERE k = 1
+      UNION ALL SELECT m.conv_id, m.turn, m.k, CASE WHEN f.size + m.c > 700 OR f.n >= 12 THEN m.c ELSE f.size + m.c END, CASE WHEN f.size + m.c > 700 OR f.n >= 12 THEN 1 ELSE f.n + 1 END, f.chunk_no + CASE WHEN f.size + m.c > 700 OR f.n >= 12 THEN 1 ELSE 0 END
+      FROM f JOIN m ON m.conv_id = f.conv_id AND m.k = f.k + 1)
+    SELECT conv_id, turn, chunk_no FROM f""",
+)
 def evidence_chunks(spark, d):
     return pk.chunk_groups(read(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import micros
@@ -37,7 +38,13 @@ def session_topk(spark, d):
     return session_participants(spark, d).orderBy(F.desc("n_events"), "user_id", "session_no").limit(20)
 
 
-@query("sessions_duration_capped")
+_CAPPED = f"""WITH RECURSIVE m AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, t, k, t AS session_start FROM m WHERE k = 1
+  UNION ALL SELECT m.user_id, m.event_id, m.t, m.k, CASE WHEN m.t - f.t > {GAP} * 60000000::BIGINT OR m.t - f.session_start > 720 * 60000000::BIGINT THEN m.t ELSE f.session_start END FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1)
+SELECT user_id, session_start, event_id FROM f"""
+
+
+@query("sessions_duration_capped", _CAPPED)
 def sessions_duration_capped(spark, d):
     return ops.capped_sessions(read(spark, d, "events", "event_id", "user_id", "ts"), "user_id", "ts", "event_id", GAP, 720)
 
@@ -62,6 +69,20 @@ def turn_merge(spark, d):
     return ops.merge_turns(c, ["conv_id"], ["turn"], "role", "text")
 
 
+@query(
+    "turn_merge_rules",
+    """WITH f AS (SELECT *, CASE WHEN lag(1) OVER w = 1 AND (lag(event_id) OVER w) % 2 = event_id % 2 AND event_type NOT IN ('error', 'signup') AND epoch_us(ts) - epoch_us(lag(ts) OVER w) BETWEEN 0 AND 43200000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS turn_no FROM f)
+    SELECT user_id, turn_no, min(event_id % 2) AS role, count(*) AS n_messages, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS text FROM g GROUP BY 1, 2""",
+)
+def turn_merge_rules(spark, d):
+    """Roles: odd and even ids; errors and signups start a turn, and so does what comes more than 12 hours later."""
+    e = read(spark, d, "events", "user_id", "ts", "event_id", "event_type").withColumn("role", F.col("event_id") % 2)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    joins = ~F.col("event_type").isin("error", "signup") & (micros("ts") - F.lag(micros("ts")).over(w)).between(0, 43_200_000_000)
+    return ops.merge_turns(e, ["user_id"], ["ts", "event_id"], "role", "event_type", joins)
+
+
 @query(
     "context_window8",
     """WITH k AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, ''), ' ') <> ''),

@@ -218,3 +218,39 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {1: "accepted", 2: "repeated", 3: "accepted", 4: "conflict", 5: "repeated"}
     batch = {r.key: (r.first_seq, r.conflict) for r in records.inbox(df, ["key"], "digest", "seq").collect()}
     assert batch == {"a": (1, True), "b": (3, False)}
+
+
+def test_observations():
+    got = records.observed([(1, "queued"), (1, "queued"), (1, "running"), (2, "running"), (3, "running"), (4, "failed"), (5, "running"), (6, "succeeded")])
+    assert got == {"status": "succeeded", "kept": ["queued", "running", "failed", "succeeded"], "repeats": 1, "conflicts": 1}
+    assert records.observed([])["status"] == "accepted" and len(records.observed([(i, f"s{i}") for i in range(300)])["kept"]) == 100
+
+
+def test_importers(spark, tmp_path):
+    from tessera.operators import plugins
+
+    (tmp_path / "a.TXT").write_text("2026-09-01 10:00\tMe: hello\n")
+    assert plugins.imported(spark, str(tmp_path / "a.TXT")).count() == 1
+    for bad in ("a.exe", "x/../a.txt"):
+        with pytest.raises(ValueError, match="format|folder"):
+            plugins.imported(spark, bad)
+    plugins.register(".log", lambda s, p: s.read.text(p))
+    (tmp_path / "a.log").write_text("x\ny\n")
+    assert plugins.imported(spark, str(tmp_path / "a.log")).count() == 2
+
+
+def test_adjacent_credentials(spark):
+    """The message before counts as it stands after its own replacement; other messages in between are a border."""
+    rows = [(1, [(0, "token"), (1, "secret"), (2, "abcd1")]), (2, [(0, "密码"), (1, " 123456。"), (3, "x")]), (3, [(0, "token"), (2, "abcd1")]), (4, [])]
+    df = spark.createDataFrame(rows, "k int, m array<struct<idx:int,content:string>>")
+    got = {r.k: ([x.content for x in r.r], r.n) for r in df.select("k", privacy.adjacent_redacted(F.col("m")).alias("r"), privacy.adjacent_count(F.col("m")).alias("n")).collect()}
+    assert got == {1: (["token", "<SECRET>", "abcd1"], 2), 2: (["密码", " <SECRET>。", "x"], 1), 3: (["token", "abcd1"], 0), 4: ([], 0)}
+
+
+def test_texts_are_normalised_before_scans(spark):
+    df = spark.createDataFrame([(1, "ＡＢ１２３ # x"), (2, "a\r\nb\x07c \t d\n\n\n\ne  "), (3, "mail ａ＠ｂ.com"), (4, "é ß 漢字 12"), (5, None)], "k int, t string")
+    from tessera.functions import text as tx
+
+    got = {r.k: (r.m, r.p, r.n) for r in df.select("k", tx.meaningful("t").alias("m"), tx.template("t").alias("p"), tx.normalized("t").alias("n")).collect()}
+    assert got == {1: ("AB123x", "abx#", "AB123 # x"), 2: ("abcde", "abcde", "a\nbc d\n\ne"), 3: ("mailabcom", "mailabcom", "mail a@b.com"), 4: ("漢字12", "漢字#", "é ß 漢字 12"), 5: (None, None, "")}
+    assert {r.k: r.raw_email_matches for r in privacy.scanned(df, "t").collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
