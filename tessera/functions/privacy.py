@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,21 +59,27 @@ def with_redaction(df: DataFrame, text: str, entities: dict[str, str] | None = N
     return out.withColumns({"redacted": value, "categories": F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))}).drop("__v", *hits)
 
 
-#: What a text has to hold, at least, for a pattern to match: a test that costs less than the pattern.
-_HINTS = {"email": "@", "mention": "@", "url": "http", "wxid": "wxid_", "ipv4": ".", "coordinate": "."}
-_NUMERIC = ("phone", "idcard", "bank")
+#: What a text, in lower case, has to hold for a pattern to match: one of some strings, or a shorter pattern. Both cost less than the pattern.
+_HINTS = {
+    "secret": ("pass", "otp", "pin", "token", "key", "secret", "code", "密码", "口令", "验证码", "校验码"),
+    "address": ("地址", "住址", "定位", "位置"),
+    "email": ("@",),
+    "mention": ("@",),
+    "url": ("http",),
+    "wxid": ("wxid_",),
+}
+_SHORT = {"phone": r"(?U)\d{11}", "idcard": r"(?U)\d{17}", "bank": r"(?U)\d{16}", "ipv4": r"(?U)\d\.\d", "coordinate": r"(?U)\d\.\d{4}"}
 
 
 def scan(text: Column | str) -> dict[str, Column]:
     """Counts by category and hard_leak_count, their sum, of a text that is normalised already (``scanned``); identity numbers aren't counted as bank numbers again."""
     value = F.coalesce(col(text), F.lit(""))
     low = F.lower(value)
-    digits = value.rlike(r"(?U)\d{11}")
 
     def count(name: str, pattern: str) -> Column:
         n = F.regexp_count(F.regexp_replace(value, PATTERNS["idcard"], " ") if name == "bank" else value, F.lit(pattern))
-        may = digits if name in _NUMERIC else F.contains(low, F.lit(_HINTS[name])) if name in _HINTS else None
-        return n if may is None else F.when(may, n).otherwise(F.lit(0))
+        may = value.rlike(_SHORT[name]) if name in _SHORT else functools.reduce(operator.or_, (F.contains(low, F.lit(h)) for h in _HINTS[name]))
+        return F.when(may, n).otherwise(F.lit(0))
 
     counts = {f"raw_{n}_matches": count(n, p) for n, p in PATTERNS.items()}
     return counts | {"hard_leak_count": sum(counts.values(), F.lit(0))}

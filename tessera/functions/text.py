@@ -41,9 +41,12 @@ def bigrams(c: Column) -> Column:
 
 def lexical_tokens(c: Column | str) -> Column:
     """Lower-cased ASCII words; of CJK runs each character and each adjacent pair."""
+    words = F.transform(regexp_all(c, r"[A-Za-z0-9_]+"), F.lower)
     runs = regexp_all(c, rf"[A-Za-z0-9_]+|[{CJK}]+")
     chars = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(1)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), F.concat(chars(r), bigrams(r))).otherwise(F.array(F.lower(r)))))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), F.concat(chars(r), bigrams(r))).otherwise(F.array(F.lower(r)))))
+    # texts without such characters, most of them, need no look at each run
+    return F.when(col(c).rlike(f"[{CJK}]"), mixed).otherwise(words)
 
 
 def term_bigrams(c: Column | str) -> Column:

@@ -254,3 +254,15 @@ def test_texts_are_normalised_before_scans(spark):
     got = {r.k: (r.m, r.p, r.n) for r in df.select("k", tx.meaningful("t").alias("m"), tx.template("t").alias("p"), tx.normalized("t").alias("n")).collect()}
     assert got == {1: ("AB123x", "abx#", "AB123 # x"), 2: ("abcde", "abcde", "a\nbc d\n\ne"), 3: ("mailabcom", "mailabcom", "mail a@b.com"), 4: ("漢字12", "漢字#", "é ß 漢字 12"), 5: (None, None, "")}
     assert {r.k: r.raw_email_matches for r in privacy.scanned(df, "t").collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_hints_change_no_count(spark, sf_dir):
+    """Counts with the cheap tests before the patterns equal those of the patterns alone."""
+    said = "call 13812345678 a.b@c.org password: hunter22 id 11010119900307123X card 6222021234567890 at 31.23041, 121.47371 ip 10.0.0.1 地址：上海市某路1号。wxid_ab1 @bob https://ex.org:80/x?y ACCESS KEY abcd1234 密码 1234abcd one time password 99999 OTP 123456"
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, said)], "doc_id long, text string"))
+    got = {r.doc_id: tuple(r)[1:-1] for r in privacy.scanned(df, "text").drop("text").collect()}
+    from tessera.functions.text import normalized
+
+    raw = {n: F.regexp_count(F.regexp_replace("v", privacy.PATTERNS["idcard"], " ") if n == "bank" else F.col("v"), F.lit(p)) for n, p in privacy.PATTERNS.items()}
+    want = {r.doc_id: tuple(r)[1:] for r in df.select("doc_id", normalized("text").alias("v")).select("doc_id", *[c.alias(n) for n, c in raw.items()]).collect()}
+    assert got == want and all(want[-1])
