@@ -48,15 +48,15 @@ def byte_alphabet() -> dict[str, int]:
 
 #: Before a single space that stands between non-spaces pre-tokens end, whatever stands around.
 CUT = re.compile(r" (?<=\S )(?=\S)")
-#: Without neighbours among white space, and none at the ends, all spaces are of that kind.
-GAPS = re.compile(r"\s\s")
+#: White space but for blanks and newlines; where there is none of it, blanks that stand between non-spaces are found by plain searches.
+ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def pieces(text: str) -> list[str]:
     """The text cut before such spaces; joined they give the text again."""
     if not text:
         return []
-    plain = text[0] != " " and text[-1] != " " and not GAPS.search(text)
+    plain = text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text and not any(c in text for c in ODD)
     first, *rest = text.split(" ") if plain else CUT.split(text)
     return [first, *map(" ".__add__, rest)]
 
