@@ -40,13 +40,18 @@ def give_back() -> None:
 CACHES: dict[str, Callable[[], None]] = {}
 
 
+def drop_caches(kept: str) -> None:
+    """Empty the caches of this process but for ``kept``.  A function of the module, so that workers look at their own caches."""
+    for name, empty in CACHES.items():
+        if name != kept:
+            empty()
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, cache: str = "") -> DataFrame:
     """``df.mapInArrow`` in bounded batches, by workers that don't hold on to memory between tasks nor to caches other than ``cache``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, empty in CACHES.items():
-            if name != cache:
-                empty()
+        drop_caches(cache)
         yield from run(batches)
         give_back()
 

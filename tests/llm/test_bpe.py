@@ -49,3 +49,22 @@ def test_frame_with_nulls_and_repeats(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert [r for r in rows if r.doc_id == 1] == [(1, 0, empty, empty)] * 2
     assert encode(df.limit(0), "text", "doc_id").count() == 0
+
+
+def test_other_operators_drop_the_tokenizer(spark):
+    """In the worker itself: after a task of another operator its tokenizers are gone."""
+    import pyarrow as pa
+
+    from tessera.llm.bpe import encode
+    from tessera.llm.common import map_batches
+
+    def loaded(batches):
+        from tessera.llm import bpe
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(bpe._LOADED)] * b.num_rows})
+
+    one = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").coalesce(1)
+    assert encode(one, "text", "doc_id").count() == 1
+    assert [r.n for r in map_batches(one.select("text"), loaded, "n long", cache="bpe").collect()] == [1]
+    assert [r.n for r in map_batches(one.select("text"), loaded, "n long").collect()] == [0]
