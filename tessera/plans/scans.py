@@ -99,3 +99,27 @@ def snapshot_manifest(spark, d):
     rows = read(spark, d, "documents", "doc_id", "text").withColumn("split", F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test"))
     sinks.snapshot(rows, path)
     return spark.read.parquet(f"{path}/data").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("frozen_manifest_scan", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def frozen_manifest_scan(spark, d):
+    """Written under its digest, read and compared with it."""
+    rows = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    path = sinks.frozen_manifest(rows, _folder(spark, "manifests"), ["doc_id", "sha256"])
+    return sinks.frozen_scan(spark, path, "doc_id bigint, sha256 string")
+
+
+@query("index_manifest", "WITH l AS (SELECT sha256(vec_id::VARCHAR) AS h FROM embeddings), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM l GROUP BY 1) SELECT (SELECT count(*) FROM embeddings) AS cards, (SELECT count(*) FROM embeddings) AS vectors, (SELECT min(len(embedding))::INT FROM embeddings) AS least_dim, (SELECT max(len(embedding))::INT FROM embeddings) AS most_dim, (SELECT sha256(string_agg(b || d, chr(10) ORDER BY b)) FROM b) AS digest")
+def index_manifest(spark, d):
+    """Cards: ids by label; vectors beside them."""
+    e = read(spark, d, "embeddings", "vec_id", "label", "embedding")
+    return sinks.index(e.select("vec_id", "label"), e.select("vec_id", "embedding"), _folder(spark, "index"), "vec_id", "label", "embedding")
+
+
+@query("metadata_scan", "SELECT source, count(*) AS n, min(n_chars) AS least, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang = 'de' GROUP BY 1")
+def metadata_scan(spark, d):
+    """Of JSON lines only three fields are parsed; bodies stay where they are."""
+    path = _folder(spark, "wide")
+    sinks.jsonl(read(spark, d, "documents"), path)
+    rows = spark.read.schema("source string, lang string, n_chars bigint").json(path)
+    return rows.where("lang = 'de'").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), F.sum("n_chars").alias("chars"))

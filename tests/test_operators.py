@@ -266,3 +266,15 @@ def test_hints_change_no_count(spark, sf_dir):
     raw = {n: F.regexp_count(F.regexp_replace("v", privacy.PATTERNS["idcard"], " ") if n == "bank" else F.col("v"), F.lit(p)) for n, p in privacy.PATTERNS.items()}
     want = {r.doc_id: tuple(r)[1:] for r in df.select("doc_id", normalized("text").alias("v")).select("doc_id", *[c.alias(n) for n, c in raw.items()]).collect()}
     assert got == want and all(want[-1])
+
+
+def test_frozen_manifests(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, h string")
+    path = sinks.frozen_manifest(df, str(tmp_path), ["id", "h"])
+    assert sinks.frozen_manifest(df.orderBy(F.desc("id")), str(tmp_path), ["id", "h"]) == path
+    assert sinks.frozen_scan(spark, path, "id long, h string").count() == 2
+    df.limit(1).write.mode("overwrite").csv(path, header=True)
+    with pytest.raises(ValueError, match="digest"):
+        sinks.frozen_scan(spark, path, "id long, h string")
+    with pytest.raises(ValueError, match="no card"):
+        sinks.index(df, spark.createDataFrame([(3, [1.0])], "id long, v array<double>"), str(tmp_path / "i"), "id", "h", "v")
