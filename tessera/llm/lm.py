@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, fold_of, map_batches, table
 from tessera.llm.hashing import _SPACE, INVERSE, U, _chunks, mixed, powers, prefix_hash
 
-CLASSES, ROWS, ROUNDS, TRAINERS = 32, 1 << 16, 2, 256
+CLASSES, ROWS, ROUNDS, TRAINERS = 32, 1 << 16, 2, 1024
 #: Words that are sent to all tasks, the most frequent ones, at most.
 FREQUENT = 200_000
 #: The end of a text; no word contains white space.
 END = b"\n"
 #: Tokens of one gradient step; rows of one block of the weights that are averaged together.
-STEP, BLOCK = 4096, 2048
+STEP, BLOCK = 4096, 512
 SHAPES = 1 << 19
 
 _KIND = np.full(256, 7, np.int64)
