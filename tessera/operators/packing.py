@@ -102,45 +102,49 @@ def fitted(candidates: Sequence[tuple[int, tuple, int]], room: int) -> list[int]
     return sorted(kept)
 
 
-def closure(roles: Sequence[str], replies: Sequence[Sequence[int]], seeds: set[int], asks: str = "user", answers: str = "assistant", opening: bool = False) -> set[int] | None:
-    """The turns that ``seeds`` need: an answer needs what lies between it and the turn that asked, a reply the turn it refers to (which has to be earlier).
+def direct_needs(roles: Sequence[str], replies: Sequence[Sequence[int]], asks: str, answers: str, opening: bool) -> list[set[int] | None]:
+    """What each turn needs at once: an answer all from the turn that asked on, a reply the turn it refers to; None if that isn't there.
 
-    None if a needed turn isn't there; with ``opening`` answers without a question before them need all turns before them instead.
+    With ``opening``, answers that no question precedes need all turns before them instead.
     """
-    have: set[int] = set()
-    todo = sorted(seeds)
-    while todo:
-        k = todo.pop()
-        if k in have:
-            continue
-        have.add(k)
-        if roles[k] == answers:
-            j = k - 1
-            while j >= 0 and roles[j] == answers:
-                j -= 1
-            if j < 0 and not opening or j >= 0 and roles[j] != asks:
-                return None
-            todo += range(max(j, 0), k)
-        for ref in replies[k]:
-            if not 0 <= ref < k:
-                return None
-            todo.append(ref)
+    out: list[set[int] | None] = []
+    question = -1  # the last turn that isn't an answer
+    for k, (role, refs) in enumerate(zip(roles, replies, strict=True)):
+        if role != answers:
+            question = k
+        known = all(0 <= r < k for r in refs)
+        asked = role != answers or (opening if question < 0 else roles[question] == asks)
+        before = range(max(question, 0), k) if role == answers else ()
+        out.append({*before, *refs} if known and asked else None)
+    return out
+
+
+def closure(needs: Sequence[set[int] | None], seeds: set[int]) -> set[int] | None:
+    """``seeds`` with all they need, directly or not; None if something needed isn't there."""
+    have, fresh = set(seeds), set(seeds)
+    while fresh:
+        wanted = [needs[k] for k in fresh]
+        if None in wanted:
+            return None
+        fresh = set().union(*wanted) - have
+        have |= fresh
     return have
 
 
 def selected_turns(roles: Sequence[str], replies: Sequence[Sequence[int]], topics: Sequence[int], costs: Sequence[int], budget: int, most: int, recent: int = 8, asks: str = "user", answers: str = "assistant") -> list[int] | None:
     """Turns before a reply that fit: the last one with all it needs, then recent ones, then those of its topic, then the rest, each with all it needs or not at all; None if the last doesn't fit."""
-    n = len(roles)
-    chosen = closure(roles, replies, {n - 1}, asks, answers)
-    fits = lambda x: len(x) <= most and sum(costs[i] for i in x) <= budget
-    if chosen is None or not fits(chosen):
+    needs, last = direct_needs(roles, replies, asks, answers, False), len(roles) - 1
+
+    def grown(have: set[int], k: int) -> set[int] | None:
+        more = closure(needs, have | {k})
+        return more if more is not None and len(more) <= most and sum(costs[i] for i in more) <= budget else None
+
+    chosen = grown(set(), last)
+    if chosen is None:
         return None
-    backwards = range(n - 1, -1, -1)
-    for k in dict.fromkeys([*backwards[:recent], *(i for i in backwards if topics[i] == topics[-1]), *backwards]):
-        if k not in chosen:
-            more = closure(roles, replies, chosen | {k}, asks, answers)
-            if more is not None and fits(more):
-                chosen = more
+    rank = lambda k: (0 if last - k < recent else 1 if topics[k] == topics[last] else 2, -k)
+    for k in sorted(range(last), key=rank):
+        chosen = grown(chosen, k) or chosen
     return sorted(chosen)
 
 

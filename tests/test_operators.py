@@ -145,9 +145,12 @@ def test_fitting_and_exchanges():
     assert packing.fitted([(-2, (0,), 5), (1, (1,), 8), (-1, (2,), 4), (2, (3,), 1)], 10) == [0, 2, 3]
     roles = ["user", "assistant", "assistant", "user", "assistant", "user"]
     refs = [[], [], [], [], [0], []]
-    assert packing.closure(roles, refs, {2}) == {0, 1, 2} and packing.closure(roles, refs, {4}) == {0, 3, 4} and packing.closure(roles, refs, {5}) == {5}
-    assert packing.closure(["assistant", "user"], [[], []], {0}) is None and packing.closure(["assistant", "assistant"], [[], []], {1}, opening=True) == {0, 1}
-    assert packing.closure(["user", "user"], [[1], []], {0}) is None
+    def closure(roles, refs, seeds, opening=False):
+        return packing.closure(packing.direct_needs(roles, refs, "user", "assistant", opening), seeds)
+
+    assert closure(roles, refs, {2}) == {0, 1, 2} and closure(roles, refs, {4}) == {0, 3, 4} and closure(roles, refs, {5}) == {5}
+    assert closure(["assistant", "user"], [[], []], {0}) is None and closure(["assistant", "assistant"], [[], []], {1}, opening=True) == {0, 1}
+    assert closure(["user", "user"], [[1], []], {0}) is None
     assert packing.selected_turns(roles, refs, [0] * 6, [10, 1, 1, 1, 1, 1], 6, 10) == [3, 5]
     assert packing.selected_turns(roles, refs, [0] * 6, [1] * 6, 100, 10) == [0, 1, 2, 3, 4, 5]
     assert packing.selected_turns(roles, refs, [0] * 6, [1] * 6, 0, 10) is None
