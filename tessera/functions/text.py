@@ -120,7 +120,7 @@ def normalized(c: Column | str) -> Column:
     """
     value = F.coalesce(col(c), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")  # a single blank stays as it is
     return F.coalesce(_normal(F.when(value.rlike(f"[^{_STABLE}]"), value)), F.btrim(plain, F.lit(" \n\t")))
 
 
